@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import packing, splitting, tokens
+from mnemoframe.llm import packing, pii, splitting, tokens, vectors
 from mnemoframe.sources.tables import table
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The two texts that hold personal data, as (table_name, record_id, text)."""
+    parts = (("source_event", "source_event_id", "payload"), ("memory_candidate", "candidate_id", "normalized_content"))
+    one, two = (table(spark, folder, t, i, c).select(F.lit(t).alias("table_name"), F.col(i).alias("record_id"), F.col(c).alias("text")) for t, i, c in parts)
+    return one.unionByName(two)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_types(_texts(spark, folder), table(spark, folder, "person_name_token"))
+
+
+def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record with personal data: its types and the text with placeholders."""
+    return pii.personal_data(_texts(spark, folder), table(spark, folder, "person_name_token"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "memory_search_projection", "version_id", "embedding_model_version", "embedding_dimensions", "embedding")
+    return vectors.nearest_pairs(rows).select(F.col("a").alias("version_id_a"), F.col("b").alias("version_id_b"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -25,6 +46,6 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), table(spark, folder, "token_budget"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
+QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
 #: The round trip's expected result is SQL; ids, containers and pieces are tested against the libraries and by properties.
 SQL: dict[str, str] = {}
