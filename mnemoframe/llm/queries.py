@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.llm import packing, pii, splitting, tokens, vectors
+from mnemoframe.llm import near_duplicates, packing, pii, splitting, tokens, vectors
 from mnemoframe.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_pairs(table(spark, folder, "memory_candidate"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Per candidate its class of equal statements, its group of linked ones and its number of links."""
+    return near_duplicates.groups(table(spark, folder, "memory_candidate"))
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """The two texts that hold personal data, as (table_name, record_id, text)."""
     parts = (("source_event", "source_event_id", "payload"), ("memory_candidate", "candidate_id", "normalized_content"))
@@ -46,6 +55,6 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "documents"), table(spark, folder, "token_budget"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
 #: The round trip's expected result is SQL; ids, containers and pieces are tested against the libraries and by properties.
 SQL: dict[str, str] = {}
