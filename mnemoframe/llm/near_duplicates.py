@@ -18,6 +18,7 @@ from mnemoframe.functions.text import WHITE_SPACE
 from mnemoframe.session import cut_lineage
 
 BUCKETS = 1 << 16
+EXTRA = 8  # trigrams indexed beyond the least number; more of them make the bound on the overlap sharper
 
 
 def normalised(c: F.Column) -> F.Column:
@@ -129,12 +130,14 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     g_size, g_len = size[head], length[head]
     last = ranks[begin[head] + g_len - 1]
 
-    # the prefix index: postings of groups by trigram
+    # the prefix index: postings of groups by trigram; the smaller of two sets needs fewer of its trigrams there
+    i_len = np.minimum(g_len, g_size - np.ceil(2 * threshold / (1 + threshold) * g_size - 1e-9).astype(np.int64) + EXTRA)
+    last_indexed = ranks[begin[head] + i_len - 1]
     flat = np.concatenate([ranks[begin[h] : begin[h] + n] for h, n in zip(head.tolist(), g_len.tolist(), strict=True)])
     group = np.repeat(np.arange(count), g_len)
-    by = np.argsort(flat, kind="stable")
-    posts = group[by].astype(np.int32)
-    edge = np.searchsorted(flat[by], np.arange(len(known) + 1))
+    indexed = np.arange(len(flat)) - np.repeat(np.cumsum(g_len) - g_len, g_len) < np.repeat(i_len, g_len)
+    keys = np.sort(flat[indexed].astype(np.int64) * count + group[indexed])
+    posts = (keys % count).astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(g_len)])
     lowest = np.searchsorted(g_size, np.ceil(threshold * g_size - 1e-9))
 
@@ -166,16 +169,16 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     for low in range(0, count, block):
         high = min(count, low + block)
         tokens, probe = flat[starts[low] : starts[high]], group[starts[low] : starts[high]] - low
-        n = edge[tokens + 1] - edge[tokens]
+        base = tokens.astype(np.int64) * count
+        first = np.searchsorted(keys, base + lowest[probe + low])
+        n = np.searchsorted(keys, base + probe + low) - first  # earlier groups that are large enough
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(edge[tokens] - (ends - n), n)
-        other, who = posts[at], np.repeat(probe, n)
-        keep = (other < who + low) & (other >= lowest[low:high][who])
-        met = np.bincount(who[keep] * count + other[keep], minlength=(high - low) * count)
-        pair = np.flatnonzero(met)
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - n)).astype(np.int32), n)
+        met = np.bincount(posts[at] + np.repeat((probe * count).astype(np.int32), n), minlength=(high - low) * count)
+        pair = np.flatnonzero(met > 0)
         a, b, common = pair // count + low, pair % count, met[pair]
         # what can still be shared lies behind the prefix that ends first
-        rest = np.where(last[a] < last[b], g_size[a] - g_len[a], g_size[b] - g_len[b])
+        rest = np.where(last[a] < last_indexed[b], g_size[a] - g_len[a], g_size[b] - i_len[b])
         need = np.ceil(threshold / (1 + threshold) * (g_size[a] + g_size[b]) - 1e-9)
         ok = common + rest >= need
         a, b = a[ok], b[ok]
