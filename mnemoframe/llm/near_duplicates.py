@@ -1,6 +1,6 @@
 """Near-duplicate statements (problem 1) by a grouped prefix join, exact for Jaccard similarity of character trigrams.
 
-Statements equal after normalising are one class. Trigrams are ordered from rare to frequent by a sketch of counts over all rows;
+Statements equal after normalising are one class. Trigrams are ordered from rare to frequent by a sketch of counts over all statements;
 two sets that are similar enough share one of their first, rarest trigrams. Classes with the same prefix and size are one group;
 groups that meet in the prefix index pass a bound on the overlap still possible, then their members are verified. A large
 predicate is cut into parts by hash of the prefix trigrams; a pair comes out of the part that owns its first common trigram.
@@ -58,7 +58,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequencies(texts: DataFrame) -> np.ndarray:
-    """Counts of trigrams over all rows, in a sketch of fixed size; only the join's speed depends on them."""
+    """Counts of trigrams over all texts, in a sketch of fixed size; only the join's speed depends on them."""
     out = np.zeros(BUCKETS, np.int64)
     for r in texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         out[r[0]] = r[1]
@@ -136,7 +136,8 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     flat = np.concatenate([ranks[begin[h] : begin[h] + n] for h, n in zip(head.tolist(), g_len.tolist(), strict=True)])
     group = np.repeat(np.arange(count), g_len)
     indexed = np.arange(len(flat)) - np.repeat(np.cumsum(g_len) - g_len, g_len) < np.repeat(i_len, g_len)
-    keys = np.sort(flat[indexed].astype(np.int64) * count + group[indexed])
+    owned = owner[flat] == part
+    keys = np.sort(flat[indexed & owned].astype(np.int64) * count + group[indexed & owned])
     posts = (keys % count).astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(g_len)])
     lowest = np.searchsorted(g_size, np.ceil(threshold * g_size - 1e-9))
@@ -144,7 +145,7 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     mark = np.zeros(len(known), bool)
     one, two, sims = [], [], []
 
-    def verify(d: int, others: np.ndarray) -> None:
+    def verify(d: int, others: np.ndarray, others_owned: bool) -> None:
         own = ranks[begin[d] : begin[d + 1]]
         mark[own] = True
         sizes = size[others]
@@ -155,8 +156,7 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
         shared = np.add.reduceat(hit, ends - sizes, dtype=np.int64)
         sim = shared / (sizes + len(own) - shared)
         good = sim >= threshold
-        if parts > 1 and good.any():
-            # the first common trigram decides the part
+        if others_owned and good.any():  # members of one group meet by their whole prefix
             first = np.minimum.reduceat(np.where(hit, token, np.iinfo(np.int32).max), ends - sizes)
             good &= owner[np.minimum(first, len(owner) - 1)] == part
         mark[own] = False
@@ -165,10 +165,23 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
             one.append(np.full(int(good.sum()), d))
             sims.append(sim[good])
 
-    block = max(1, (1 << 21) // count)
+    def _possible(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+        # what can still be shared lies behind the prefix that ends first
+        rest = np.where(last[a] < last_indexed[b], g_size[a] - g_len[a], g_size[b] - i_len[b])
+        return common + rest >= np.ceil(threshold / (1 + threshold) * (g_size[a] + g_size[b]) - 1e-9)
+
+    if parts > 1:
+        word, bit = flat * 7919 % 512 // 64, np.uint64(1) << (flat * 7919 % 64).astype(np.uint64)
+        probe_bits, index_bits = np.zeros((count, 8), np.uint64), np.zeros((count, 8), np.uint64)
+        np.bitwise_or.at(probe_bits, (group, word), bit)
+        np.bitwise_or.at(index_bits, (group[indexed], word[indexed]), bit[indexed])
+        clash = i_len - np.bitwise_count(index_bits).sum(axis=1, dtype=np.int64)  # trigrams of one group that share a bit
+
+    block = max(1, (1 << 21) // max(count, len(known) if parts > 1 else 1))
     for low in range(0, count, block):
         high = min(count, low + block)
-        tokens, probe = flat[starts[low] : starts[high]], group[starts[low] : starts[high]] - low
+        mine = owned[starts[low] : starts[high]]
+        tokens, probe = flat[starts[low] : starts[high]][mine], group[starts[low] : starts[high]][mine] - low
         base = tokens.astype(np.int64) * count
         first = np.searchsorted(keys, base + lowest[probe + low])
         n = np.searchsorted(keys, base + probe + low) - first  # earlier groups that are large enough
@@ -177,10 +190,26 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
         met = np.bincount(posts[at] + np.repeat((probe * count).astype(np.int32), n), minlength=(high - low) * count)
         pair = np.flatnonzero(met > 0)
         a, b, common = pair // count + low, pair % count, met[pair]
-        # what can still be shared lies behind the prefix that ends first
-        rest = np.where(last[a] < last_indexed[b], g_size[a] - g_len[a], g_size[b] - i_len[b])
-        need = np.ceil(threshold / (1 + threshold) * (g_size[a] + g_size[b]) - 1e-9)
-        ok = common + rest >= need
+        if parts > 1 and len(a):
+            # only some of the common trigrams belong to this part: count all, and leave the pair to the part of the first
+            near = np.zeros((high - low, len(known)), bool)
+            near[group[starts[low] : starts[high]] - low, flat[starts[low] : starts[high]]] = True
+            # signatures of the prefixes give a first, cheap bound on it
+            for at in range(0, len(a), 1 << 18):
+                x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+                common[at : at + (1 << 18)] = np.bitwise_count(probe_bits[x] & index_bits[y]).sum(axis=1, dtype=np.int64) + clash[y]
+            ok = _possible(a, b, common)
+            a, b, common = a[ok], b[ok], common[ok]
+            for at in range(0, len(a), 100_000):
+                x, y = a[at : at + 100_000], b[at : at + 100_000]
+                n = i_len[y]
+                ends = np.cumsum(n)
+                token = ranks[np.arange(ends[-1]) + np.repeat(begin[head[y]] - (ends - n), n)]
+                hit = near[np.repeat(x - low, n), token]
+                common[at : at + 100_000] = np.add.reduceat(hit, ends - n, dtype=np.int64)
+                first = np.minimum.reduceat(np.where(hit, token, np.iinfo(np.int32).max), ends - n)
+                common[at : at + 100_000][owner[np.minimum(first, len(owner) - 1)] != part] = -BUCKETS * BUCKETS
+        ok = _possible(a, b, common)
         a, b = a[ok], b[ok]
         edges = np.searchsorted(a, np.arange(low, high + 1))
         for g in range(low, high):
@@ -190,7 +219,7 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
             for k, d in enumerate(mine):
                 others = some + mine[:k]
                 if others:
-                    verify(d, np.array(others))
+                    verify(d, np.array(others), parts > 1)
     return (np.concatenate(one), np.concatenate(two), np.concatenate(sims)) if one else none
 
 
@@ -213,12 +242,14 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pred", "norm").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
 
 
-def similar_classes(rows: DataFrame, every: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
+def similar_classes(every: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
     """Pairs (a, b, similarity) of class representatives with different contents."""
-    seen = frequencies(rows.select("norm"))
+    seen = frequencies(every.select("norm"))
     parts = every.groupBy("pred").agg(F.count("*").alias("n")).select("pred", F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
     routed = every.select("pred", "rep", "norm").join(parts, "pred").select("pred", "rep", "norm", "parts").mapInArrow(_route(seen, threshold), "pred string, part int, rep string, norm string, parts int")
-    return routed.groupBy("pred", "part").applyInArrow(_joiner(seen, threshold), "a string, b string, similarity double")
+    # groups differ much in cost: more partitions than usual, which adaptive execution leaves apart
+    spread = routed.repartition(4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pred", "part")
+    return spread.groupBy("pred", "part").applyInArrow(_joiner(seen, threshold), "a string, b string, similarity double")
 
 
 def similar_pairs(candidates: DataFrame, threshold: float = 0.7, rows_per_task: int = 20_000) -> DataFrame:
@@ -227,10 +258,10 @@ def similar_pairs(candidates: DataFrame, threshold: float = 0.7, rows_per_task:
     Contents shorter than three characters after normalising have no trigrams and are in no pair. Copies of an id count once.
     """
     rows = statements(candidates)
-    every = classes(rows)
+    every = cut_lineage(classes(rows))
     several = every.where((F.col("rep") != F.col("last")) & (F.length("norm") >= 3)).select("pred", "norm", "rep")
     members = rows.join(several, ["pred", "norm"]).select("rep", "id").distinct()
-    links = similar_classes(rows, every, threshold, rows_per_task).select("a", "b").unionByName(several.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    links = similar_classes(every, threshold, rows_per_task).select("a", "b").unionByName(several.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     left, right = (members.select(F.col("rep").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
     pairs = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y")).where("x != y")
     return pairs.select(F.least("x", "y").alias("candidate_id_a"), F.greatest("x", "y").alias("candidate_id_b")).distinct()
@@ -261,8 +292,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 def groups(candidates: DataFrame, threshold: float = 0.7, rows_per_task: int = 20_000) -> DataFrame:
     """One row per candidate: its class (equal statements), its group (linked classes) and the number of classes its class is linked to."""
     rows = statements(candidates)
-    every = classes(rows)
-    links = cut_lineage(similar_classes(rows, every, threshold, rows_per_task).select("a", "b"))
+    every = cut_lineage(classes(rows))
+    links = cut_lineage(similar_classes(every, threshold, rows_per_task).select("a", "b"))
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     roots = components(links).select(F.col("node").alias("rep"), "root")
     known = every.join(degree, "rep", "left").join(roots, "rep", "left").select("pred", "norm", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
