@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import upkeep
+from mnemoframe.plans import history, records, retrieval, upkeep
 
-_PARTS = (upkeep,)
+_PARTS = (history, retrieval, records, upkeep)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return upkeep.p3_hourly(spark, folder)
+    return retrieval.rrf_fusion(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
