@@ -280,3 +280,93 @@ def json_differences(spark: SparkSession, folder: str) -> DataFrame:
     v = one_of_copies(table(spark, folder, "memory_version", "memory_id", "version_id", "version_number", "value_json"), "version_id").withColumn("old", F.lag("value_json").over(w)).where("old IS NOT NULL AND value_json IS NOT NULL")
     spark.udtf.register("json_differences", udfs.JsonDifferences)
     return spark.sql("SELECT version_id, d.path FROM {v} AS v, LATERAL json_differences(v.old, v.value_json) AS d", v=v)
+
+
+_GREETINGS = ("hello", "hi", "hey", "thanks", "thank you", "good morning", "good evening", "bye")  # fixed values
+
+
+@family.query("""WITH q AS (SELECT DISTINCT source_event_id, lower(trim(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.content'))) AS q FROM source_event)
+SELECT source_event_id, CASE WHEN coalesce(q, '') = '' THEN 'EMPTY_QUERY' WHEN q IN ('hello', 'hi', 'hey', 'thanks', 'thank you', 'good morning', 'good evening', 'bye') THEN 'NO_MEMORY_NEED' ELSE 'RETRIEVE' END AS gate,
+CASE WHEN regexp_matches(q, 'switched from|replaced|moved its') THEN 'CHANGE' WHEN regexp_matches(q, 'used to|as of|back in') THEN 'HISTORICAL' ELSE 'PRESENT' END AS intent FROM q""")
+def query_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Gate and temporal intent of a query text, change before history."""
+    e = table(spark, folder, "source_event", "source_event_id", "payload").distinct()
+    q = F.lower(F.trim(F.get_json_object("payload", "$.content")))
+    valid = F.try_parse_json("payload").isNotNull()
+    e = e.select("source_event_id", F.when(valid, q).alias("q")).distinct()
+    gate = F.when(F.coalesce("q", F.lit("")) == "", "EMPTY_QUERY").when(F.col("q").isin(*_GREETINGS), "NO_MEMORY_NEED").otherwise("RETRIEVE")
+    intent = F.when(F.col("q").rlike("switched from|replaced|moved its"), "CHANGE").when(F.col("q").rlike("used to|as of|back in"), "HISTORICAL").otherwise("PRESENT")
+    return e.select("source_event_id", gate.alias("gate"), intent.alias("intent"))
+
+
+@family.query("""SELECT * FROM (
+SELECT 'memory_version' AS relation, 'interval_in_order' AS rule, count(*) FILTER (valid_time_start >= valid_time_end)::BIGINT AS n FROM memory_version
+UNION ALL SELECT 'memory_version', 'number_positive', count(*) FILTER (version_number < 1)::BIGINT FROM memory_version
+UNION ALL SELECT 'memory_candidate', 'confidence_in_unit', count(*) FILTER (confidence NOT BETWEEN 0 AND 1)::BIGINT FROM memory_candidate
+UNION ALL SELECT 'memory_candidate', 'erased_is_empty', count(*) FILTER (content_state = 'ERASED' AND normalized_content IS NOT NULL)::BIGINT FROM memory_candidate
+UNION ALL SELECT 'memory_search_projection', 'length_as_stated', count(*) FILTER (len(embedding) <> embedding_dimensions)::BIGINT FROM memory_search_projection
+UNION ALL SELECT 'memory_search_projection', 'has_sources', count(*) FILTER (source_event_ids IS NULL OR len(source_event_ids) = 0)::BIGINT FROM memory_search_projection
+UNION ALL SELECT 'source_event', 'arrives_after', count(*) FILTER (received_at < occurred_at)::BIGINT FROM source_event
+UNION ALL SELECT 'documents', 'n_chars_fits', count(*) FILTER (n_chars <> length(text))::BIGINT FROM documents) WHERE n > 0""")
+def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
+    from mnemoframe.operators.constraints import many
+
+    c = F.col
+    return many({
+        "memory_version": (table(spark, folder, "memory_version"), {"interval_in_order": c("valid_time_start") < c("valid_time_end"), "number_positive": c("version_number") >= 1}),
+        "memory_candidate": (table(spark, folder, "memory_candidate"), {"confidence_in_unit": c("confidence").between(0, 1), "erased_is_empty": ~((c("content_state") == "ERASED") & c("normalized_content").isNotNull())}),
+        "memory_search_projection": (table(spark, folder, "memory_search_projection"), {"length_as_stated": F.size("embedding") == c("embedding_dimensions"), "has_sources": c("source_event_ids").isNotNull() & (F.size("source_event_ids") > 0)}),
+        "source_event": (table(spark, folder, "source_event"), {"arrives_after": c("received_at") >= c("occurred_at")}),
+        "documents": (table(spark, folder, "documents"), {"n_chars_fits": c("n_chars") == F.length("text")}),
+    })
+
+
+@family.query()
+def recent_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session's newest documents within 4,000 characters; an ordered fold, checked on small cases."""
+    from mnemoframe.operators.budget import choose
+
+    d = table(spark, folder, "documents", "session_id", "doc_id", "text", "created_at").where("session_id IS NOT NULL")
+    return choose(d, "session_id", "doc_id", F.length("text"), 4000, F.col("created_at"))
+
+
+@family.query("""WITH n AS (SELECT scale, baseline, sum(tokens)::BIGINT AS tokens, count(*)::BIGINT AS n FROM (
+SELECT 'answer' AS scale, source AS baseline, length(text) AS tokens FROM documents UNION ALL SELECT 'retrieval', predicate, length(normalized_content) FROM memory_version JOIN
+(SELECT DISTINCT memory_id, predicate FROM memory_lineage) USING (memory_id)) GROUP BY 1, 2) SELECT * FROM n""")
+def cost_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Token sums over a union of different row kinds."""
+    a = table(spark, folder, "documents").select(F.lit("answer").alias("scale"), F.col("source").alias("baseline"), F.length("text").alias("tokens"))
+    p = table(spark, folder, "memory_lineage", "memory_id", "predicate").distinct()
+    b = table(spark, folder, "memory_version", "memory_id", "normalized_content").join(p, "memory_id").select(F.lit("retrieval").alias("scale"), F.col("predicate").alias("baseline"), F.length("normalized_content").alias("tokens"))
+    return a.unionByName(b).groupBy("scale", "baseline").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+
+
+@family.query("""WITH v AS (SELECT DISTINCT ON (version_id) * FROM memory_version WHERE content_state = 'AVAILABLE'), l AS (SELECT DISTINCT memory_id, tenant_id, predicate FROM memory_lineage WHERE lifecycle_state = 'ACTIVE'),
+c AS (SELECT DISTINCT candidate_id, source_event_id FROM memory_candidate WHERE candidate_id IS NOT NULL)
+SELECT v.version_id, v.memory_id, predicate, normalized_content, list(DISTINCT c.source_event_id ORDER BY c.source_event_id) FILTER (c.source_event_id IS NOT NULL) AS source_event_ids
+FROM v JOIN l ON v.memory_id = l.memory_id AND v.tenant_id = l.tenant_id LEFT JOIN c ON v.candidate_id = c.candidate_id GROUP BY ALL""")
+def projection_build(spark: SparkSession, folder: str) -> DataFrame:
+    """The search projection from its sources: active lineages, available versions, sorted provenance."""
+    v = one_of_copies(table(spark, folder, "memory_version").where("content_state = 'AVAILABLE'"), "version_id").select("version_id", "memory_id", "tenant_id", "candidate_id", "normalized_content")
+    lineages = table(spark, folder, "memory_lineage").where("lifecycle_state = 'ACTIVE'").select("memory_id", "tenant_id", "predicate").distinct()
+    c = table(spark, folder, "memory_candidate", "candidate_id", "source_event_id").where("candidate_id IS NOT NULL").distinct()
+    sources = v.select("version_id", "candidate_id").join(c, "candidate_id").groupBy("version_id").agg(F.array_sort(F.collect_set("source_event_id")).alias("source_event_ids"))
+    return v.join(lineages, ["memory_id", "tenant_id"]).join(sources, "version_id", "left").select("version_id", "memory_id", "predicate", "normalized_content", "source_event_ids")
+
+
+@family.query("SELECT DISTINCT source_event_id FROM source_event WHERE source_event_id IS NOT NULL")
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids that a deduplicating stream lets through; its delay exceeds that of every redelivery here."""
+    from mnemoframe.streaming import pipelines as P
+
+    e = P.source(spark, folder, "source_event").where("source_event_id IS NOT NULL").select("source_event_id", "received_at")
+    return P.drain(P.deduplicated(e, "3650 days")).select("source_event_id").distinct()
+
+
+@family.query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS began, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Window counts of the event stream in complete mode."""
+    from mnemoframe.streaming import pipelines as P
+
+    out = P.drain(P.windowed(P.source(spark, folder, "events")), "complete")
+    return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
