@@ -36,7 +36,7 @@ def parents(df: DataFrame, target: str, key: str, arrived: str, erased: F.Column
     )
 
 
-def match_runs(keys: DataFrame, known: DataFrame, buckets: int = 1024) -> DataFrame:
+def match_runs(keys: DataFrame, known: DataFrame, buckets: int = 16_384) -> DataFrame:
     """Adds ``found``, ``arrived`` and ``erased`` to distinct keys (target, tenant_id, ref_key), by as-of match to runs of parents.
 
     A null tenant equals a null tenant.
