@@ -44,7 +44,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Whether decoding gives each text again, and how many characters the tokens' offsets cover."""
-    return tokens.round_trip(table(spark, folder, "documents"), "doc_id", "text")
+    return tokens.round_trip(table(spark, folder, "documents"), "doc_id", "text").drop("n_ids")
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,5 +56,13 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p8_pieces": p8_pieces}
-#: The round trip's expected result is SQL; ids, containers and pieces are tested against the libraries and by properties.
-SQL: dict[str, str] = {}
+_TRIGRAMS = r"""WITH s AS (SELECT DISTINCT candidate_id AS id, lower(trim(predicate)) AS p, trim(regexp_replace(lower(normalized_content), '[^\p{L}\p{N}]+', ' ', 'g')) AS n
+  FROM memory_candidate WHERE candidate_id IS NOT NULL AND normalized_content IS NOT NULL AND predicate IS NOT NULL),
+g AS (SELECT id, p, list_distinct(list_transform(range(1, length(n) - 1), lambda k: substring(n, k, 3))) AS t FROM s WHERE length(n) >= 3),
+j AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS u FROM g a JOIN g b ON a.p = b.p AND a.id < b.id WHERE len(a.t) >= 0.69 * len(b.t) AND len(b.t) >= 0.69 * len(a.t))
+SELECT x AS candidate_id_a, y AS candidate_id_b FROM j WHERE i / (u - i) >= 0.7"""
+#: Personal data, neighbours, ids, containers and pieces have no SQL: they are tested against brute force, the libraries and by properties.
+SQL: dict[str, str] = {
+    "p1_found": _TRIGRAMS,
+    "p6_round_trip": "SELECT doc_id, length(coalesce(text, ''))::INTEGER AS n_chars, true AS same FROM documents",
+}
