@@ -182,6 +182,8 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
         high = min(count, low + block)
         mine = owned[starts[low] : starts[high]]
         tokens, probe = flat[starts[low] : starts[high]][mine], group[starts[low] : starts[high]][mine] - low
+        if not len(tokens):
+            continue  # another part owns all that these groups could meet by
         base = tokens.astype(np.int64) * count
         first = np.searchsorted(keys, base + lowest[probe + low])
         n = np.searchsorted(keys, base + probe + low) - first  # earlier groups that are large enough

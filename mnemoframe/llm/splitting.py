@@ -25,7 +25,7 @@ def expression(most: int) -> re.Pattern[str]:
     """Up to ``most`` letters: the whole rest, else to the last boundary of the strongest kind in the window's second half."""
     least = max(0, most // 2 - 1)
     natural = "|".join(f".{{{least},{most - 1}}}{kind}" for kind in "plscw")
-    return re.compile(f".{{1,{most}}}\\Z|{natural}|.{{0,{most - 1}}}[^z]|.")
+    return re.compile(f".{{1,{most}}}\\Z|{natural}|.{{0,{most - 1}}}[^z]|z*[^z]")
 
 
 def letters(raw: np.ndarray, ends: np.ndarray) -> str:

@@ -123,7 +123,7 @@ def _reverse(x: np.ndarray, graph: np.ndarray, batch: np.ndarray, degree: int, a
     """Adds the edges back from the batch's new neighbours; a full node is pruned again over old and new edges."""
     to = graph[batch].ravel()
     source = np.repeat(batch, degree)
-    ok = to >= 0
+    ok = (to >= 0) & (graph[to] != source[:, None]).all(axis=1)
     to, source = to[ok], source[ok]
     by = np.argsort(to, kind="stable")
     to, source = to[by], source[by]
@@ -252,14 +252,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([model] * len(raw), pa.string()), _binary(raw)], names=["model", "vec"])
 
 
-def _assign(plans: dict[tuple[str, int], Plan], margin: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _assign(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["model", "shard", "id", "twin", "vec"]
 
-    def rows(model: str, shard: np.ndarray, ids: pa.Array, twin: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"{model}/{raw.shape[1]}"] * len(ids), pa.string()), pa.array(shard, pa.int32()), ids.cast(pa.string()), pa.array(twin), _binary(raw)], names=names)
+    def rows(model: str, d: int, shard: np.ndarray, ids: pa.Array, twin: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"{model}/{d}"] * len(ids), pa.string()), pa.array(shard, pa.int32()), ids.cast(pa.string()), pa.array(twin), _binary(raw)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[tuple[str, int, int], set[str]] = {}
         for batch in batches:
             for model, ids, raw, unit in _usable(batch):
                 d = raw.shape[1]
@@ -270,12 +269,7 @@ def _assign(plans: dict[tuple[str, int], Plan], margin: float, k: int) -> Callab
                     shared = which >= 0
                     if shared.any():
                         own = ids.filter(pa.array(shared))
-                        for j, i in zip(which[shared].tolist(), own.to_pylist(), strict=True):
-                            top = least.setdefault((model, d, j), set())
-                            top.add(i)
-                            if len(top) > 4 * k:
-                                least[model, d, j] = set(sorted(top)[: k + 1])
-                        yield rows(model, -1 - which[shared], own, np.zeros(int(shared.sum()), bool), raw[shared])
+                        yield rows(model, d, -1 - which[shared], own, np.zeros(int(shared.sum()), bool), raw[shared][:, :0])
                         keep = ~shared
                         ids, raw, unit = ids.filter(pa.array(keep)), raw[keep], unit[keep]
                         if not len(raw):
@@ -287,15 +281,9 @@ def _assign(plans: dict[tuple[str, int], Plan], margin: float, k: int) -> Callab
                 near[at, first] = -9
                 second = near.argmax(axis=1)
                 twin = near[at, second] >= best - margin
-                yield rows(model, first, ids, twin, raw)
+                yield rows(model, d, first, ids, twin, raw)
                 if twin.any():
-                    yield rows(model, second[twin], ids.filter(pa.array(twin)), np.ones(int(twin.sum()), bool), raw[twin])
-        for (model, d, j), top in least.items():
-            some = sorted(top)[: k + 1]
-            raw = np.repeat(np.frombuffer(plans[model, d].heavy[j], np.float32)[None, :], len(some), axis=0)
-            unit = raw[0] / np.linalg.norm(raw[0].astype(np.float64))
-            shard = int((plans[model, d].centroids @ unit.astype(np.float32)).argmax())
-            yield rows(model, np.full(len(some), shard), pa.array(some, pa.string()), np.ones(len(some), bool), raw)
+                    yield rows(model, d, second[twin], ids.filter(pa.array(twin)), np.ones(int(twin.sum()), bool), raw[twin])
 
     return run
 
@@ -312,8 +300,24 @@ def _pairs(k: int, degree: int, width: int, alpha: float) -> Callable[[pa.Table]
         empty = pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
         if n < 2:
             return empty
-        found, _ = neighbours(exact.astype(np.float32), k, degree, width, alpha)
+        # equal vectors are one node of the graph, of which at most the k + 1 least ids can be among anyone's nearest
+        _, head, own = np.unique(raw.view(np.dtype((np.void, raw.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+        near, _ = neighbours(exact[head].astype(np.float32), k, degree, width, alpha)
+        if len(head) == n:
+            found = np.empty_like(near)
+            found[head] = np.where(near >= 0, head[near], -1)
+        else:
+            by = np.argsort(own, kind="stable")
+            place = np.arange(n) - np.repeat(np.concatenate([[0], np.cumsum(np.bincount(own))[:-1]]), np.bincount(own))
+            least = np.full((len(head) + 1, k + 1), -1)
+            first = place <= k
+            least[own[by][first], place[first]] = by[first]
+            found = np.concatenate([least[own], least[near[own]].reshape(n, -1)], axis=1)
+            found[found == np.arange(n)[:, None]] = -1
         sim = np.einsum("nkd,nd->nk", exact[found], exact)
+        if len(head) < n:
+            sim[:, : k + 1] = 1.0
+            sim = np.where(sim > 1 - 1e-15, 1.0, sim)
         sim[found < 0] = -np.inf
         rank = np.lexsort((found, -sim), axis=1)[:, :k]  # ids ascend, so a tie goes to the smaller one
         found, sim = np.take_along_axis(found, rank, 1), np.take_along_axis(sim, rank, 1)
@@ -342,17 +346,32 @@ def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sa
     some = picked if share >= 1 else picked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     learned = some.mapInArrow(_sampled, "model string, vec binary").groupBy("model").applyInArrow(_learn(1 / share, target, most_cells, heavy_share), "model string, d int, centroids binary, heavy array<binary>").collect()
     plans = {(r["model"], r["d"]): Plan(np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, r["d"]), tuple(bytes(v) for v in r["heavy"])) for r in learned}
-    assigned = picked.mapInArrow(_assign(plans, margin, k), "model string, shard int, id string, twin boolean, vec binary")
-    edges = assigned.where("shard >= 0").groupBy("model", "shard").applyInArrow(_pairs(k, degree, width, alpha), "a string, b string, similarity double")
+    assigned = picked.mapInArrow(_assign(plans, margin), "model string, shard int, id string, twin boolean, vec binary")
+    indexed = assigned.where("shard >= 0")
+    heavy = any(p.heavy for p in plans.values())
+    if heavy:
+        shared = assigned.where("shard < 0").select("model", "shard", "id").distinct()
+        order = Window.partitionBy("model", "shard").orderBy("id")
+        least = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("model", "shard", "id")
+        # at most (k + 1) / heavy_share rows a model; they stand in the shards for all their equals
+        stand = [(*r["model"].rsplit("/", 1), r["shard"], r["id"]) for r in least.collect()]
+        rows = []
+        for model, d, j, i in stand:
+            plan = plans[model, int(d)]
+            v = np.frombuffer(plan.heavy[-1 - j], np.float32)
+            near = plan.centroids @ (v / np.linalg.norm(v.astype(np.float64))).astype(np.float32)
+            cells_of = np.flatnonzero(near >= near.max() - margin)
+            rows += [(f"{model}/{d}", int(c), i, True, v.tobytes()) for c in cells_of[np.argsort(-near[cells_of])][:2]]
+        indexed = indexed.unionByName(picked.sparkSession.createDataFrame(rows, "model string, shard int, id string, twin boolean, vec binary"))
+    edges = indexed.groupBy("model", "shard").applyInArrow(_pairs(k, degree, width, alpha), "a string, b string, similarity double")
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     # the same edge from two shards counts once
     opened = edges.where(F.col("similarity").isNotNull()).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     merged = opened.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("a", "b")
     out = edges.where(F.col("similarity").isNull()).select("a", "b").unionByName(merged)
-    if any(p.heavy for p in plans.values()):
-        shared = assigned.where("shard < 0").select("model", "shard", "id").distinct()
-        order = Window.partitionBy("model", "shard").orderBy("id")
-        least = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).groupBy("model", "shard").agg(F.array_sort(F.collect_list("id")).alias("top"))
-        others = shared.join(F.broadcast(least), ["model", "shard"]).select(F.col("id").alias("a"), F.explode(F.slice(F.array_remove("top", F.col("id")), 1, k)).alias("b"))
-        out = out.unionByName(others)
+    if heavy:
+        top = least.groupBy("model", "shard").agg(F.array_sort(F.collect_list("id")).alias("top"))  # k + 1 ids each
+        others = shared.join(top, ["model", "shard"]).select(F.col("id").alias("a"), F.explode(F.slice(F.array_remove("top", F.col("id")), 1, k)).alias("b"))
+        known = shared.select(F.col("id").alias("a")).distinct()
+        out = edges.where(F.col("similarity").isNull()).select("a", "b").unionByName(merged.join(known, "a", "left_anti")).unionByName(others)
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
