@@ -46,27 +46,39 @@ def sizer(name: str, folder: str = TOKENIZER_DIR) -> Any:
 
 
 @cache
-def token_bytes(name: str, folder: str = TOKENIZER_DIR) -> dict[int, bytes]:
-    """The bytes of each id, by the reversed byte table."""
+def token_bytes(name: str, folder: str = TOKENIZER_DIR) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of each id, by the reversed byte table, and their numbers."""
     back = {c: b for b, c in byte_table().items()}
-    return {i: bytes(back[c] for c in s) for s, i in tokenizer(name, folder).get_vocab(with_added_tokens=False).items() if all(c in back for c in s)}
+    vocabulary = tokenizer(name, folder).get_vocab(with_added_tokens=False)
+    table = [b""] * (1 + max(vocabulary.values()))
+    for s, i in vocabulary.items():
+        if all(c in back for c in s):
+            table[i] = bytes(back[c] for c in s)
+    return table, np.array([len(x) for x in table], np.int64)
+
+
+def raw_bytes(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> bytes:
+    return b"".join(map(token_bytes(name, folder)[0].__getitem__, ids))
 
 
 def decode(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
     """The text of ids; a character of which only some bytes are there becomes U+FFFD."""
-    table = token_bytes(name, folder)
-    return b"".join(table[i] for i in ids).decode("utf-8", "replace")
+    return raw_bytes(ids, name, folder).decode("utf-8", "replace")
 
 
-def spans(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> list[tuple[int, int]]:
-    """Character offsets of each id in the decoded text: a token holding part of a character spans the whole of it."""
-    table = token_bytes(name, folder)
-    raw = np.frombuffer(b"".join(table[i] for i in ids), np.uint8)
-    ends = np.cumsum([len(table[i]) for i in ids], dtype=np.int64)
-    begins = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
+def offsets(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id begins and ends in the decoded text, in characters: a token holding part of one spans the whole of it."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(raw_bytes(ids, name, folder), np.uint8)
+    ends = np.cumsum(token_bytes(name, folder)[1][ids])
+    begins = np.concatenate([[0], ends[:-1]])
     upto = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters begun before each byte
-    first = upto[np.minimum(begins + 1, len(raw))] - 1 if len(ids) else upto[:0]
-    return list(zip(first.tolist(), upto[ends].tolist(), strict=True)) if len(ids) else []
+    return upto[begins + 1] - 1, upto[ends]
+
+
+def spans(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> list[tuple[int, int]]:
+    return list(zip(*(x.tolist() for x in offsets(ids, name, folder)), strict=True))
 
 
 def lists(values: list[list[int]]) -> pa.Array:
@@ -94,16 +106,18 @@ def encode(df: DataFrame, id_column: str, text_column: str, name: str = "byte_bp
 
 
 def round_trip(df: DataFrame, id_column: str, text_column: str, name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """Rows (id_column, n_ids, n_spans_chars, same): whether decoding gives the text again; a null text counts as empty."""
+    """Rows (id_column, n_ids, n_chars, same): whether decoding gives the text again; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(name, folder)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
-            covered = [(spans(i, name, folder) or [(0, 0)])[-1][1] for i in ids]
-            same = [decode(i, name, folder) == x for i, x in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int32()), pa.array(covered, pa.int32()), pa.array(same)], names=["id", "n_ids", "n_chars", "same"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                covered = [int(offsets(i, name, folder)[1][-1]) if i else 0 for i in ids]
+                same = [decode(i, name, folder) == x for i, x in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int32()), pa.array(covered, pa.int32()), pa.array(same)], names=["id", "n_ids", "n_chars", "same"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, text_column).mapInArrow(run, f"id {kind}, n_ids int, n_chars int, same boolean").withColumnRenamed("id", id_column)
