@@ -321,7 +321,12 @@ def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
-@family.query()
+@family.query("""WITH d AS (SELECT session_id, list({'used': coalesce(length(text), 0)::BIGINT, 'ids': [doc_id], 'totals': [0::BIGINT]} ORDER BY created_at DESC NULLS LAST, doc_id) AS items
+  FROM documents WHERE session_id IS NOT NULL GROUP BY 1),
+f AS (SELECT session_id, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= 4000 THEN {'used': acc.used + x.used, 'ids': acc.ids || x.ids, 'totals': acc.totals || [acc.used + x.used]} ELSE acc END,
+  {'used': 0::BIGINT, 'ids': []::BIGINT[], 'totals': []::BIGINT[]}) AS r FROM d),
+u AS (SELECT session_id, unnest(r.ids) AS doc_id, unnest(r.totals) AS used FROM f)
+SELECT u.session_id, u.doc_id, coalesce(length(text), 0)::BIGINT AS size, used FROM u JOIN documents USING (doc_id)""")
 def recent_context(spark: SparkSession, folder: str) -> DataFrame:
     """Each session's newest documents within 4,000 characters; an ordered fold, checked on small cases."""
     from mnemoframe.operators.budget import choose

@@ -75,7 +75,10 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return hybrid(spark, folder)
 
 
-@family.query()
+@family.query(BASE + """, l AS (SELECT query_id, list({'used': coalesce(length(text), 0)::INTEGER, 'chosen': [f.doc_id], 'truncated': false} ORDER BY rank) AS items FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE rank <= 8 GROUP BY 1),
+r AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= 1200 THEN {'used': acc.used + x.used, 'chosen': acc.chosen || x.chosen, 'truncated': acc.truncated}
+  ELSE {'used': acc.used, 'chosen': acc.chosen, 'truncated': true} END, {'used': 0::INTEGER, 'chosen': []::BIGINT[], 'truncated': false}) AS r FROM l)
+SELECT query_id, r.used AS used, r.chosen AS chosen, r.truncated AS truncated FROM r""")
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Items chosen within 1,200 characters a query, skipping what does not fit; an ordered fold, checked on small cases."""
     texts = table(spark, folder, "documents", "doc_id", "text")
