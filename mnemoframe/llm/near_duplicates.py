@@ -97,21 +97,27 @@ def _route(seen: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBa
 
 def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of the texts with their similarity of at least ``threshold``; of several parts, those that ``part`` owns."""
-    codes, begin = trigrams(texts)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    size = np.diff(begin)
-    if not len(codes):
+    chunks = []
+    for at in range(0, len(texts), 4096):  # sorting takes several times the room of its result
+        codes, edges = trigrams(texts[at : at + 4096])
+        chunks.append((codes, np.diff(edges)))
+    if not any(len(codes) for codes, _ in chunks):
         return none
-    known, local = np.unique(codes, return_inverse=True)
+    size = np.concatenate([n for _, n in chunks])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    known = np.unique(np.concatenate([np.unique(codes) for codes, _ in chunks]))
     heard = bucket(known)
-    rank_of = np.empty(len(known), np.int64)
-    rank_of[np.lexsort((known, seen[heard]))] = np.arange(len(known))
+    rank_of = np.empty(len(known), np.int32)
+    rank_of[np.lexsort((known, seen[heard]))] = np.arange(len(known), dtype=np.int32)
     owner = np.empty(len(known), np.int64)
     owner[rank_of] = heard % parts
-    doc = np.repeat(np.arange(len(texts)), size)
-    ranks = rank_of[local]
-    order = np.lexsort((ranks, doc))
-    ranks = ranks[order].astype(np.int32)
+    sorted_chunks = []
+    for codes, n in chunks:
+        r = rank_of[np.searchsorted(known, codes)]
+        sorted_chunks.append(r[np.lexsort((r, np.repeat(np.arange(len(n)), n)))])
+    ranks = np.concatenate(sorted_chunks)
+    del chunks, sorted_chunks
 
     # groups: classes of one prefix and one size, in order of size
     docs = np.argsort(size, kind="stable")
@@ -247,7 +253,12 @@ def classes(rows: DataFrame) -> DataFrame:
 def similar_classes(every: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
     """Pairs (a, b, similarity) of class representatives with different contents."""
     seen = frequencies(every.select("norm"))
-    parts = every.groupBy("pred").agg(F.count("*").alias("n")).select("pred", F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
+    # a few parts share a predicate's work, each over all of its statements; beyond what one task may hold, parts
+    # are so many that the statements routed to one, by about as many trigrams as a prefix has, stay within it
+    n, room = F.col("n"), 3 * rows_per_task
+    count = F.when(n <= room, n / rows_per_task).otherwise(n * F.greatest(F.col("prefix"), F.lit(1.0)) / room)
+    sizes = every.groupBy("pred").agg(F.count("*").alias("n"), (F.avg(F.length("norm")) * (1 - threshold)).alias("prefix"))
+    parts = sizes.select("pred", F.ceil(count).cast("int").alias("parts"))
     routed = every.select("pred", "rep", "norm").join(parts, "pred").select("pred", "rep", "norm", "parts").mapInArrow(_route(seen, threshold), "pred string, part int, rep string, norm string, parts int")
     # groups differ much in cost: more partitions than usual, which adaptive execution leaves apart
     spread = routed.repartition(4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pred", "part")
