@@ -13,7 +13,8 @@ def status_log(versions: DataFrame, lineages: DataFrame) -> DataFrame:
     Copies count once; versions without a lineage of their tenant are left out.
     """
     v = one_of_copies(versions.select("tenant_id", "memory_id", "version_id", "version_number", "transaction_time"), "version_id")
-    kinds = one_of_copies(lineages.select("tenant_id", "memory_id", "predicate_cardinality"), "memory_id")
+    # grouped by the join's keys, so that the join needs no further shuffle of this side
+    kinds = lineages.where(F.col("memory_id").isNotNull()).groupBy("tenant_id", "memory_id").agg(F.min("predicate_cardinality").alias("predicate_cardinality"))
     w = Window.partitionBy("tenant_id", "memory_id").orderBy("version_number", "version_id")
     joined = v.join(kinds, ["tenant_id", "memory_id"]).withColumns({"next_n": F.lead("version_number").over(w), "next_at": F.lead("transaction_time").over(w)})
     born = F.struct(F.col("version_number").alias("sequence"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("from_status"), F.lit("CURRENT").alias("to_status"), F.col("transaction_time").alias("occurred_at"))
@@ -23,8 +24,8 @@ def status_log(versions: DataFrame, lineages: DataFrame) -> DataFrame:
 
 
 def current_state(log: DataFrame) -> DataFrame:
-    """The last change of each version."""
-    last = latest_per_key(log, ["version_id"], F.desc("sequence"), F.desc("ordinal"))
+    """The last change of each version; the keys extend those the log is already partitioned by."""
+    last = latest_per_key(log, ["tenant_id", "memory_id", "version_id"], F.desc("sequence"), F.desc("ordinal"))
     return last.select("tenant_id", "memory_id", "version_id", F.col("to_status").alias("status"), F.col("occurred_at").alias("since"))
 
 
@@ -76,7 +77,7 @@ def sequence_violations(versions: DataFrame) -> DataFrame:
 
 def chain_violations(log: DataFrame) -> DataFrame:
     """Changes that do not start from the status in which the one before left the version."""
-    w = Window.partitionBy("version_id").orderBy("sequence", "ordinal")
+    w = Window.partitionBy("tenant_id", "memory_id", "version_id").orderBy("sequence", "ordinal")
     seen = log.withColumn("before", F.lag("to_status").over(w))
     return seen.where(~F.col("from_status").eqNullSafe(F.col("before"))).select("version_id", "sequence", "from_status", "before")
 
