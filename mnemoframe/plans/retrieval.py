@@ -29,6 +29,10 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 """
 
 
+def wide(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents", "doc_id", "text", "lang", "source", F.col("created_at").alias("recorded_at"))
     e = table(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
@@ -42,25 +46,25 @@ def asked(docs: DataFrame) -> DataFrame:
 @family.query(BASE + "SELECT * FROM vec WHERE rank <= 8")
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = corpus(spark, folder)
-    return R.vector_topk(asked(docs), docs, K)
+    return wide(R.vector_topk(asked(docs), docs, K))
 
 
 @family.query(BASE + "SELECT * FROM lex WHERE rank <= 8")
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = corpus(spark, folder)
-    return R.lexical_topk(asked(docs), docs, K)
+    return wide(R.lexical_topk(asked(docs), docs, K))
 
 
 @family.query(BASE + "SELECT * FROM str WHERE rank <= 8")
 def structured_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = corpus(spark, folder)
-    return R.structured_topk(asked(docs), docs, K)
+    return wide(R.structured_topk(asked(docs), docs, K))
 
 
 @family.query(BASE + "SELECT * FROM rec WHERE rank <= 8")
 def temporal_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = corpus(spark, folder)
-    return R.recent_topk(asked(docs), docs, K, ntz(AT))
+    return wide(R.recent_topk(asked(docs), docs, K, ntz(AT)))
 
 
 def hybrid(spark: SparkSession, folder: str, limit: int | None = K) -> DataFrame:
@@ -72,7 +76,7 @@ def hybrid(spark: SparkSession, folder: str, limit: int | None = K) -> DataFrame
 
 @family.query(BASE + "SELECT * FROM fused WHERE rank <= 8")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return hybrid(spark, folder)
+    return wide(hybrid(spark, folder))
 
 
 @family.query(BASE + """, l AS (SELECT query_id, list({'used': coalesce(length(text), 0)::INTEGER, 'chosen': [f.doc_id], 'truncated': false} ORDER BY rank) AS items FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE rank <= 8 GROUP BY 1),
