@@ -375,3 +375,56 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 
     out = P.drain(P.windowed(P.source(spark, folder, "events")), "complete")
     return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+@family.query("""WITH d AS (SELECT session_id, doc_id, created_at, row_number() OVER (PARTITION BY session_id ORDER BY created_at, doc_id) - 1 AS position FROM documents WHERE session_id IS NOT NULL AND created_at IS NOT NULL)
+SELECT session_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) AS r FROM d WHERE created_at <= TIMESTAMP '2025-06-01') WHERE r <= 2""")
+def recent_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions within each session, and the last two up to a cut-off."""
+    from pyspark.sql import Window
+
+    d = table(spark, folder, "documents", "session_id", "doc_id", "created_at").where("session_id IS NOT NULL AND created_at IS NOT NULL")
+    # position and last place in one sort: the cut-off only takes rows off the end
+    w = Window.partitionBy("session_id").orderBy("created_at", "doc_id")
+    inside = F.col("created_at") <= F.to_timestamp_ntz(F.lit("2025-06-01 00:00:00"))
+    d = d.withColumns({"position": (F.row_number().over(w) - 1).cast("bigint"), "n": F.count_if(inside).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return d.where(inside & (F.col("position") >= F.col("n") - 2)).select("session_id", "doc_id", "position")
+
+
+@family.query("""WITH p AS (SELECT DISTINCT ON (version_id) version_id, memory_id, list_filter(source_event_ids, lambda s: s IS NOT NULL AND trim(s) <> '') AS cited FROM memory_search_projection WHERE version_id IS NOT NULL AND source_event_ids IS NOT NULL),
+c AS (SELECT v.version_id, list(DISTINCT source_event_id ORDER BY source_event_id) AS gold FROM (SELECT DISTINCT version_id, candidate_id FROM memory_version) v JOIN (SELECT DISTINCT candidate_id, source_event_id FROM memory_candidate) USING (candidate_id) GROUP BY 1)
+SELECT version_id, len(list_intersect(list_distinct(cited), gold))::INTEGER AS n_shared, list_has_all(cited, gold) AS complete, list_has_all(gold, cited) AS only_gold,
+round_even(len(list_intersect(list_distinct(cited), gold)) / nullif(len(list_distinct(cited)), 0), 6) AS precision, round_even(len(list_intersect(list_distinct(cited), gold)) / len(gold), 6) AS recall
+FROM p JOIN c USING (version_id)""")
+def citation_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Cited sources against those of the version's candidate: complete, valid, precision and fractional recall."""
+    p = one_of_copies(table(spark, folder, "memory_search_projection", "version_id", "source_event_ids"), "version_id").where("source_event_ids IS NOT NULL")
+    p = p.select("version_id", F.array_distinct(F.filter("source_event_ids", lambda s: s.isNotNull() & (F.trim(s) != ""))).alias("cited"))
+    v = table(spark, folder, "memory_version", "version_id", "candidate_id").distinct()
+    c = table(spark, folder, "memory_candidate", "candidate_id", "source_event_id").distinct()
+    gold = v.join(c, "candidate_id").groupBy("version_id").agg(F.array_sort(F.collect_set("source_event_id")).alias("gold"))
+    shared = F.size(F.array_intersect("cited", "gold"))
+    return p.join(gold, "version_id").select(
+        "version_id", shared.alias("n_shared"), (F.size(F.array_except("gold", "cited")) == 0).alias("complete"), (F.size(F.array_except("cited", "gold")) == 0).alias("only_gold"),
+        ratio(shared, F.size("cited")).alias("precision"), ratio(shared, F.size("gold")).alias("recall"),
+    )
+
+
+@family.query("""WITH e AS (SELECT user_id, ts, value, coalesce(min(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS before FROM events)
+SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (before = 1)::BIGINT AS n_repeat, round(sum(value), 6) AS total FROM e GROUP BY 1""")
+def hourly_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that follow another of the same user within the hour: a range frame, not a join."""
+    from pyspark.sql import Window
+
+    times = table(spark, folder, "events").select("user_id", "ts", "value").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    back = F.max("us").over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, -1))
+    return times.withColumn("back", back).groupBy("user_id").agg(F.count("*").alias("n"), F.count("back").alias("n_repeat"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@family.query("""WITH j AS (SELECT memory_type, subject_kind, content_state FROM (SELECT DISTINCT ON (candidate_id) * FROM memory_candidate WHERE candidate_id IS NOT NULL))
+SELECT memory_type, subject_kind, count(*)::BIGINT AS n, count(*) FILTER (content_state = 'ERASED')::BIGINT AS n_erased, grouping(memory_type)::INTEGER AS all_types, grouping(subject_kind)::INTEGER AS all_kinds
+FROM j GROUP BY GROUPING SETS ((memory_type, subject_kind), (memory_type), (subject_kind), ())""")
+def grouped_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Roll-ups by several labels at once."""
+    c = one_of_copies(table(spark, folder, "memory_candidate", "candidate_id", "memory_type", "subject_kind", "content_state"), "candidate_id")
+    return c.cube("memory_type", "subject_kind").agg(F.count("*").alias("n"), F.count_if(F.col("content_state") == "ERASED").alias("n_erased"), F.grouping("memory_type").cast("int").alias("all_types"), F.grouping("subject_kind").cast("int").alias("all_kinds"))
