@@ -75,18 +75,12 @@ def _route(seen: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column(3).to_numpy()
-            if (parts == 1).all():
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(parts), np.int32)), batch.column(1), batch.column(2), batch.column(3)], names=["pred", "part", "rep", "norm", "parts"])
-                continue
             codes, begin = trigrams(batch.column(2).to_pylist())
             take, part = [], []
             for k, p in enumerate(parts.tolist()):
                 own = codes[begin[k] : begin[k + 1]]
-                if p == 1:
-                    mine = [0]
-                else:
-                    own = own[np.lexsort((own, seen[bucket(own)]))][: int(_prefix(np.array([len(own)]), threshold)[0])]
-                    mine = np.unique(bucket(own) % p).tolist()
+                own = own[np.lexsort((own, seen[bucket(own)]))][: int(_prefix(np.array([len(own)]), threshold)[0])]
+                mine = np.unique(bucket(own) % p).tolist()
                 take += [k] * len(mine)
                 part += mine
             rows = batch.take(pa.array(take, pa.int64()))
@@ -259,7 +253,11 @@ def similar_classes(every: DataFrame, threshold: float, rows_per_task: int) -> D
     count = F.when(n <= room, n / rows_per_task).otherwise(n * F.greatest(F.col("prefix"), F.lit(1.0)) / room)
     sizes = every.groupBy("pred").agg(F.count("*").alias("n"), (F.avg(F.length("norm")) * (1 - threshold)).alias("prefix"))
     parts = sizes.select("pred", F.ceil(count).cast("int").alias("parts"))
-    routed = every.select("pred", "rep", "norm").join(parts, "pred").select("pred", "rep", "norm", "parts").mapInArrow(_route(seen, threshold), "pred string, part int, rep string, norm string, parts int")
+    sized = every.select("pred", "rep", "norm").join(parts, "pred")
+    names = ["pred", "part", "rep", "norm", "parts"]
+    whole = sized.where("parts = 1").withColumn("part", F.lit(0)).select(*names)  # these need no trigrams to be routed
+    cut = sized.where("parts > 1").select("pred", "rep", "norm", "parts").mapInArrow(_route(seen, threshold), "pred string, part int, rep string, norm string, parts int")
+    routed = whole.unionByName(cut)
     # groups differ much in cost: more partitions than usual, which adaptive execution leaves apart
     spread = routed.repartition(4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pred", "part")
     return spread.groupBy("pred", "part").applyInArrow(_joiner(seen, threshold), "a string, b string, similarity double")
