@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemoframe.functions import hashing, text as T, udfs
 from mnemoframe.operators import erasure as E, evaluation as V, ingest as I
-from mnemoframe.operators.relational import latest_per_key, one_of_copies, ratio, upsert_latest
+from mnemoframe.operators.relational import one_of_copies, ratio, upsert_latest
 from mnemoframe.plans.family import Family
 from mnemoframe.sources.tables import table
 
