@@ -12,7 +12,7 @@ _PARTS = (history, retrieval, records, upkeep)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.rrf_fusion(spark, folder)
+    return retrieval.rrf_fusion_all(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
