@@ -193,7 +193,21 @@ SELECT k.lineage, n, value, CASE WHEN n > last OR coalesce(most > last, false) T
 
 @family.query(_CLOSED)
 def closed_form_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Statuses of single-valued lineages over the event stream, each assertion valid for 12 hours."""
-    e = table(spark, folder, "events").where(~F.col("event_type").isin("view", "click"))
+    """Statuses of single-valued lineages over the event stream but its views and clicks, each assertion valid for 12 hours."""
+    return asserted(table(spark, folder, "events").where(~F.col("event_type").isin("view", "click")))
+
+
+@family.query("""WITH f AS (SELECT user_id || '/' || event_type AS lineage, value, min(event_id) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT f.lineage, f.n, f.value, ts AS s, ts + INTERVAL 12 HOUR AS e FROM f JOIN events ON n = event_id),
+m AS (SELECT a.lineage, a.n, min(b.n) AS least, max(b.n) AS most FROM s a JOIN s b ON a.lineage = b.lineage AND a.n <> b.n AND a.s < b.e AND b.s < a.e GROUP BY 1, 2),
+k AS (SELECT s.*, most, coalesce(least < s.n, false) AS conflict FROM s LEFT JOIN m ON s.lineage = m.lineage AND s.n = m.n),
+last AS (SELECT lineage, max(n) AS last FROM k WHERE NOT conflict GROUP BY 1)
+SELECT k.lineage, n, value, CASE WHEN n > last OR coalesce(most > last, false) THEN 'CONFLICTED' WHEN n = last THEN 'CURRENT' ELSE 'HISTORICAL' END AS status FROM k JOIN last ON k.lineage = last.lineage""")
+def closed_form_status_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over all event types."""
+    return asserted(table(spark, folder, "events"))
+
+
+def asserted(e: DataFrame) -> DataFrame:
     rows = e.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("lineage"), F.col("event_id").alias("n"), "value", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("e"))
     return L.closed_form(rows)
