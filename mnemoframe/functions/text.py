@@ -14,9 +14,13 @@ def trimmed_key(c: Column) -> Column:
     return F.when(key != "", key)
 
 
-def squeeze(c: Column) -> Column:
+#: ASCII white space and the separators of all scripts.
+ANY_SPACE = r"[\s\p{Z}\x{85}]+"
+
+
+def squeeze(c: Column, space: str = r"\s+") -> Column:
     """Lower case, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), space, " "))
 
 
 def xml_escape(c: Column) -> Column:

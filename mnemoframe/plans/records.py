@@ -55,9 +55,19 @@ def name_based_uuid(spark: SparkSession, folder: str) -> DataFrame:
 
 @family.query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS normalised, length(text)::INTEGER AS n_chars FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')")
 def normalise_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Case and white space of ASCII texts; elsewhere engines differ in what counts as either."""
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return d.select("doc_id", T.squeeze(F.col("text")).alias("normalised"), F.length("text").alias("n_chars"))
+    """Case and white space of ASCII texts, where the SQL's notion of both agrees; normalise_text_all takes every document."""
+    ascii = F.col("text").rlike(r"^[\x00-\x7F]*\z")
+    return normalised(table(spark, folder, "documents").where(ascii), T.squeeze(F.col("text")))
+
+
+@family.query()
+def normalise_text_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Case and white space of every document; null texts stay null."""
+    return normalised(table(spark, folder, "documents"), T.squeeze(F.col("text"), T.ANY_SPACE))
+
+
+def normalised(d: DataFrame, text: F.Column) -> DataFrame:
+    return d.select("doc_id", text.alias("normalised"), F.length("text").alias("n_chars"))
 
 
 @family.query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""")
