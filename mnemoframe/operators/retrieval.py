@@ -61,13 +61,19 @@ def words(text: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def lexemes(text: F.Column) -> F.Column:
+    """Lower-case runs of letters, marks and digits of any script, in order; each Han character is one of its own."""
+    apart = F.regexp_replace(F.lower(text), r"(\p{IsHan})", " $1 ")
+    return F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, tokenise: Callable[[F.Column], F.Column] = words) -> DataFrame:
     """Documents that hold all terms of a query, by term occurrences over one plus the logarithm of their length.
 
     Candidates come from each query's rarest term only, so a term in a third of all documents is never joined on unless
     nothing rarer is asked for; no document matches a query without terms.
     """
-    docs = corpus.select("doc_id", words(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
+    docs = corpus.select("doc_id", tokenise(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
     postings = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = queries.select("query_id", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0)
@@ -75,7 +81,9 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     known = asked.join(df, "term", "left")
     rarest = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0").select("query_id", F.col("r.term").alias("term"))
     found = rarest.join(postings, "term").join(terms, "query_id").join(docs, "doc_id").where(F.size(F.array_except("terms", "tokens")) == 0)
-    hits = F.size(F.filter("tokens", lambda t: F.array_contains(F.col("terms"), t)))
+    # a text that asks for itself or a copy has no other tokens, so the terms need not be counted one by one
+    same = F.size(F.array_distinct("tokens")) == F.size("terms")
+    hits = F.when(same, F.col("n_tokens")).otherwise(F.size(F.filter("tokens", lambda t: F.array_contains(F.col("terms"), t))))
     scored = found.select("query_id", "doc_id", F.round(hits / (1 + F.log(F.col("n_tokens").cast("double"))), 9).alias("score"))
     return top_per_key(scored, ["query_id"], k, F.desc("score"), F.asc("doc_id"))
 

@@ -1,7 +1,7 @@
 """Retrieval queries.
 
 Those in ``_all`` search all rows: the vector source the whole embeddings table, the other sources the whole documents table, each
-asked by every row of its table whose id is divisible by 50. The others, which their SQL checks, see only the ids that stand in both
+asked by every row of its table whose id is divisible by 50, the lexical one with the whole text. The others, which their SQL checks, see only the ids that stand in both
 tables, with the first words of the document.
 """
 
@@ -111,12 +111,12 @@ def measured(ranked: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 9).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(F.col("hits") / 8.0), 9).alias("context_precision"))
 
 
-WHOLE = """WITH docs AS (SELECT doc_id, text, lang, source, created_at AS recorded_at FROM documents),
+WHOLE = r"""WITH docs AS (SELECT doc_id, text, lang, source, created_at AS recorded_at FROM documents),
 vectors AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding FROM embeddings),
-queries AS (SELECT doc_id AS query_id, list_distinct(coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), [])[1:2]) AS terms, source, lang FROM docs WHERE doc_id % 50 = 0),
+queries AS (SELECT doc_id AS query_id, list_distinct(coalesce(regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+'), [])) AS terms, source, lang FROM docs WHERE doc_id % 50 = 0),
 vec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
   (SELECT q.doc_id AS query_id, c.doc_id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score FROM vectors q, vectors c WHERE q.doc_id % 50 = 0) QUALIFY rank <= 40),
-doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM docs),
+doc AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+') AS tokens FROM docs),
 lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
   (SELECT query_id, doc_id, round(len(list_filter(tokens, lambda t: list_contains(terms, t))) / (1 + ln(len(tokens))), 9) AS score FROM queries, doc
    WHERE len(terms) > 0 AND list_has_all(tokens, terms)) QUALIFY rank <= 40),
@@ -137,7 +137,7 @@ def embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def asking_documents(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.array_distinct(F.slice(F.coalesce(R.words(F.col("text")), F.array().cast("array<string>")), 1, 2)).alias("terms"), "source", "lang")
+    return docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.array_distinct(F.coalesce(R.lexemes(F.col("text")), F.array().cast("array<string>"))).alias("terms"), "source", "lang")
 
 
 def asking_vectors(vectors: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def vector_topk_all(spark: SparkSession, folder: str) -> DataFrame:
 @family.query(WHOLE + "SELECT * FROM lex WHERE rank <= 8")
 def lexical_topk_all(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return wide(R.lexical_topk(asking_documents(docs), docs, K))
+    return wide(R.lexical_topk(asking_documents(docs), docs, K, R.lexemes))
 
 
 @family.query(WHOLE + "SELECT * FROM str WHERE rank <= 8")
@@ -172,7 +172,7 @@ def hybrid_all(spark: SparkSession, folder: str, limit: int | None = K) -> DataF
     """Fused over the union: an id that asks in one table only has the candidates of that table's sources."""
     docs, vectors = documents(spark, folder), embeddings(spark, folder)
     q = asking_documents(docs)
-    found = {"VECTOR": R.vector_topk(asking_vectors(vectors), vectors, COMPONENT), "LEXICAL": R.lexical_topk(q, docs, COMPONENT), "STRUCTURED": R.structured_topk(q, docs, COMPONENT), "TEMPORAL": R.recent_topk(q, docs, COMPONENT, ntz(AT))}
+    found = {"VECTOR": R.vector_topk(asking_vectors(vectors), vectors, COMPONENT), "LEXICAL": R.lexical_topk(q, docs, COMPONENT, R.lexemes), "STRUCTURED": R.structured_topk(q, docs, COMPONENT), "TEMPORAL": R.recent_topk(q, docs, COMPONENT, ntz(AT))}
     return R.fuse(found, limit=limit)
 
 
