@@ -288,6 +288,17 @@ def _assign(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iter
     return run
 
 
+def _placed(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Which cells ids fall in, without their vectors."""
+    return lambda batches: (b.select(["model", "shard", "id"]) for b in _assign(plans, margin)(batches))
+
+
+def _filled(plan: Plan, sizes: dict[int, int], least: int) -> Plan:
+    """The plan without cells of fewer than ``least`` ids; their rows go to the next cell, so others only grow. The largest stays."""
+    keep = [j for j in range(len(plan.centroids)) if sizes.get(j, 0) >= least] or [max(range(len(plan.centroids)), key=lambda j: sizes.get(j, 0))]
+    return Plan(plan.centroids[keep], plan.heavy)
+
+
 def _pairs(k: int, degree: int, width: int, alpha: float) -> Callable[[pa.Table], pa.Table]:
     """Edges of one shard: settled ones as pairs a < b with null similarity, those of vectors with a twin elsewhere with theirs."""
 
@@ -338,7 +349,8 @@ def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sa
     ``rows``: id, embedding_model_version, embedding_dimensions, embedding. Rows without id or model, or whose vector is null, of
     another length, not finite or all zero, are left out; copies of an id count once. ``sample`` bounds the rows that fit the
     cells (all rows are indexed and searched). Vectors that at least ``heavy_share`` of the sample has are the same are kept out
-    of the shards but for their k + 1 least ids, which are the neighbours of all the others: no group of equal vectors enters one task.
+    of the shards but for their k + 1 least ids, which are the neighbours of all the others (a group of at most k ids stands there
+    whole): no group of equal vectors enters one task.
     """
     picked = rows.select(F.col(id_column).alias("id"), F.col("embedding_model_version").alias("model"), F.col("embedding_dimensions").alias("d"), "embedding")
     total = max(1, rows.count())
@@ -346,6 +358,10 @@ def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sa
     some = picked if share >= 1 else picked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     learned = some.mapInArrow(_sampled, "model string, vec binary").groupBy("model").applyInArrow(_learn(1 / share, target, most_cells, heavy_share), "model string, d int, centroids binary, heavy array<binary>").collect()
     plans = {(r["model"], r["d"]): Plan(np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, r["d"]), tuple(bytes(v) for v in r["heavy"])) for r in learned}
+    sizes: dict[str, dict[int, int]] = {}
+    for r in picked.mapInArrow(_placed(plans, margin), "model string, shard int, id string").where("shard >= 0").groupBy("model", "shard").agg(F.countDistinct("id").alias("n")).collect():
+        sizes.setdefault(r["model"], {})[r["shard"]] = r["n"]
+    plans = {(m, d): _filled(p, sizes.get(f"{m}/{d}", {}), k + 1) for (m, d), p in plans.items()}
     assigned = picked.mapInArrow(_assign(plans, margin), "model string, shard int, id string, twin boolean, vec binary")
     indexed = assigned.where("shard >= 0")
     heavy = any(p.heavy for p in plans.values())
@@ -370,8 +386,10 @@ def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sa
     merged = opened.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("a", "b")
     out = edges.where(F.col("similarity").isNull()).select("a", "b").unionByName(merged)
     if heavy:
-        top = least.groupBy("model", "shard").agg(F.array_sort(F.collect_list("id")).alias("top"))  # k + 1 ids each
-        others = shared.join(top, ["model", "shard"]).select(F.col("id").alias("a"), F.explode(F.slice(F.array_remove("top", F.col("id")), 1, k)).alias("b"))
-        known = shared.select(F.col("id").alias("a")).distinct()
+        # k + 1 ids each; all ids of a smaller group stand in the shards, whose edges fill up to k
+        top = least.groupBy("model", "shard").agg(F.array_sort(F.collect_list("id")).alias("top")).where(F.size("top") > k)
+        full = shared.join(top, ["model", "shard"])
+        others = full.select(F.col("id").alias("a"), F.explode(F.slice(F.array_remove("top", F.col("id")), 1, k)).alias("b"))
+        known = full.select(F.col("id").alias("a")).distinct()
         out = edges.where(F.col("similarity").isNull()).select("a", "b").unionByName(merged.join(known, "a", "left_anti")).unionByName(others)
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
