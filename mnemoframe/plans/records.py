@@ -192,6 +192,16 @@ def storage_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (V.text_bytes(table(spark, folder, t), t, cols) for t, cols in _STORED.items()))
 
 
+_RELATIONS = ("candidate_policy_decision", "customer", "documents", "embedding_model", "embeddings", "erasure_tombstone", "events", "lineitem", "memory_candidate", "memory_lineage", "memory_search_projection", "memory_version", "nation", "orders", "part", "person_name_token", "predicate_catalog", "region", "source_event", "supplier", "token_budget")
+
+
+@family.query()
+def storage_rollup_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of whole rows as JSON over every relation, and their mean; engines differ in how they write JSON."""
+    every = reduce(DataFrame.unionByName, (V.payload_bytes(table(spark, folder, t), t) for t in _RELATIONS))
+    return every.withColumn("mean_bytes", F.round(F.try_divide("n_bytes", "n_rows"), 3))
+
+
 @family.query("""WITH k AS (SELECT DISTINCT tenant_id FROM memory_lineage), b AS (SELECT unnest(['full-history', 'summary', 'vector', 'versioned']) AS baseline)
 SELECT tenant_id, baseline, unnest(range(1, 4))::INTEGER AS repetition FROM k, b""")
 def expected_rows(spark: SparkSession, folder: str) -> DataFrame:
