@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 2).
 
-Keys get dense integers within hash buckets, in sort order; parents' integers are compressed into contiguous runs, each
-reference is matched as-of to the preceding run start and is missing beyond that run's end. Only distinct keys pass
-through the buckets, so hot parents collapse before the shuffle; kinds come back to the references by a join that adaptive
+A key becomes a block and an integer by its own characters. The parents' integers of a block are compressed into contiguous runs;
+a reference is matched as-of to the run that starts before it and is missing beyond that run's end. A run also holds the bounds of its
+parents' arrivals and whether some or all are erased, which settles most references; only those it leaves open are joined to parents.
+Keys are distinct before they are shuffled, so hot ones collapse; kinds come back to the references by a join that adaptive
 execution splits where it is skewed.
 """
 
@@ -26,52 +27,75 @@ def references(table_name: str, df: DataFrame, field: str, record_id: str, at: s
 
 
 def parents(df: DataFrame, target: str, key: str, arrived: str, erased: F.Column) -> DataFrame:
-    """One row per tenant and id: first arrival, and whether any copy is erased."""
-    return (
-        df.select("tenant_id", trimmed_key(F.col(key)).alias("ref_key"), micros(F.col(arrived)).alias("arrived"), F.coalesce(erased, F.lit(False)).alias("erased"))
-        .where(F.col("ref_key").isNotNull())
-        .groupBy("tenant_id", "ref_key")
-        .agg(F.min("arrived").alias("arrived"), F.max("erased").alias("erased"))
-        .withColumn("target", F.lit(target))
-    )
+    """Rows (target, tenant_id, ref_key, arrived, erased) of the possible parents, copies included; those without a key are left out."""
+    rows = df.select("tenant_id", trimmed_key(F.col(key)).alias("ref_key"), micros(F.col(arrived)).alias("arrived"), F.coalesce(erased, F.lit(False)).alias("erased"))
+    return rows.where(F.col("ref_key").isNotNull()).withColumn("target", F.lit(target))
+
+
+BLOCK = 1 << 16
+KEY = ("target", "tenant_id", "block", "n")
 
 
-def match_runs(keys: DataFrame, known: DataFrame, buckets: int = 16_384) -> DataFrame:
-    """Adds ``found``, ``arrived`` and ``erased`` to distinct keys (target, tenant_id, ref_key), by as-of match to runs of parents.
+def numbered(df: DataFrame, base: int = 10) -> DataFrame:
+    """``ref_key`` as ``block`` and ``n`` < 65,536, one to one: neighbours in number are neighbours in a block.
 
-    A null tenant equals a null tenant.
+    The key's last digits count, 18 decimal ones at most, or 12 hexadecimal ones as of a UUID (``base`` 16); without any the number
+    is 0. What is before them, and how many they are, belong to the block. Neither column is ever null.
     """
-    key = ["target", "tenant_id", "ref_key"]
-    extra = [c for c in keys.columns if c not in key]
-    types = dict(keys.dtypes)
-    rows = keys.select(*key, F.lit(1).alias("is_ref"), F.lit(None).cast("bigint").alias("arrived"), F.lit(None).cast("boolean").alias("erased"), *extra).unionByName(
-        known.select(*key, F.lit(0).alias("is_ref"), "arrived", "erased", *(F.lit(None).cast(types[c]).alias(c) for c in extra))
-    )
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    by_key = Window.partitionBy("bucket").orderBy(*key)
-    in_order = Window.partitionBy("bucket").orderBy(*key, "is_ref")
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.col("is_ref") == 0
-    numbered = rows.withColumn("k", F.dense_rank().over(by_key))
-    begun = numbered.withColumn("last_k", F.last(F.when(parent, F.col("k")), True).over(before)).withColumn("starts", parent & ~F.coalesce(F.col("last_k") == F.col("k") - 1, F.lit(False)))
-    matched = begun.withColumns({
-        "run_start": F.last(F.when(F.col("starts"), F.col("k")), True).over(upto),
-        "run_end": F.last(F.when(parent, F.struct("k", "arrived", "erased")), True).over(upto),
-    })
-    inside = F.coalesce(F.col("k").between(F.col("run_start"), F.col("run_end.k")), F.lit(False))
-    return matched.where(~parent).select(*key, *extra, inside.alias("found"), F.col("run_end.arrived").alias("arrived"), F.col("run_end.erased").alias("erased"))
-
-
-def orphans(refs: list[DataFrame], known: list[DataFrame]) -> DataFrame:
+    digits = F.regexp_extract("ref_key", r"([0-9a-f]{1,12})\z" if base == 16 else r"([0-9]{1,18})\z", 1)
+    split = df.withColumn("_d", digits).withColumn("_n", F.coalesce((F.conv("_d", 16, 10) if base == 16 else F.col("_d")).try_cast("long"), F.lit(0)))
+    block = F.concat_ws("/", F.left("ref_key", F.length("ref_key") - F.length("_d")), F.length("_d").cast("string"), F.shiftright("_n", 16).cast("string"))
+    return split.withColumns({"block": block, "n": F.coalesce(F.col("_n").bitwiseAND(BLOCK - 1).cast("int"), F.lit(0))}).drop("_d", "_n")
+
+
+def runs(known: DataFrame) -> DataFrame:
+    """Rows (target, tenant_id, block, first, last, erasure, arrival bounds) of contiguous integers, from one row per parent."""
+    order = Window.partitionBy("target", "tenant_id", "block").orderBy("n")
+    island = known.withColumn("island", F.col("n") - F.row_number().over(order))
+    return island.groupBy("target", "tenant_id", "block", "island").agg(
+        F.min("n").alias("first"), F.max("n").alias("last"), F.bool_or("erased").alias("some_erased"), F.bool_and("erased").alias("all_erased"),
+        F.min("arrived").alias("earliest_arrival"), F.max("arrived").alias("latest_arrival"), F.count("*").alias("n_parents"),
+    ).drop("island")
+
+
+def match_runs(keys: DataFrame, table: DataFrame) -> DataFrame:
+    """Distinct references (target, tenant_id, block, n, ...), each with the run that starts at it or before it in ``run``, null if none does.
+
+    A null tenant equals a null tenant. A reference beyond ``run.last`` has no parent.
+    """
+    types, extra = dict(keys.dtypes), [c for c in keys.columns if c not in KEY]
+    held = F.struct("first", "last", "some_erased", "all_erased", "earliest_arrival", "latest_arrival", "n_parents")
+    starts = table.select("target", "tenant_id", "block", F.col("first").alias("n"), F.lit(0).alias("is_ref"), held.alias("run"), *(F.lit(None).cast(types[c]).alias(c) for c in extra))
+    asked = keys.select(*KEY, F.lit(1).alias("is_ref"), F.lit(None).cast(starts.schema["run"].dataType).alias("run"), *extra)
+    upto = Window.partitionBy("target", "tenant_id", "block").orderBy("n", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.unionByName(asked).withColumn("run", F.last("run", True).over(upto)).where("is_ref = 1").drop("is_ref")
+
+
+def judge(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Of distinct references with the span of their referring times, those that may be orphans: adds found, erased and arrived.
+
+    ``known``: one row per parent with arrived and erased. What a run of one parent or its bounds settle needs no parent any more.
+    """
+    matched = match_runs(keys, runs(known))
+    inside, run = F.coalesce(F.col("n") <= F.col("run.last"), F.lit(False)), F.col("run")
+    late = lambda arrived: F.coalesce(arrived > F.col("earliest"), F.lit(False))
+    possible = matched.withColumn("found", inside).where(~F.col("found") | run["some_erased"] | late(run["latest_arrival"]))
+    exact = ~F.col("found") | (run["n_parents"] == 1) | run["all_erased"]
+    r, k = possible.withColumn("exact", exact).alias("r"), known.alias("k")
+    same = (F.col("r.target") == F.col("k.target")) & F.col("r.tenant_id").eqNullSafe(F.col("k.tenant_id")) & (F.col("r.block") == F.col("k.block")) & (F.col("r.n") == F.col("k.n"))
+    of = lambda bound, own: F.when(F.col("found"), F.when(F.col("exact"), F.col(f"run.{bound}")).otherwise(F.col(f"k.{own}"))).alias(own)
+    judged = r.join(k, same & ~F.col("r.exact"), "left").select(*(F.col(f"r.{c}") for c in KEY), "earliest", "found", of("some_erased", "erased"), of("earliest_arrival", "arrived"))
+    return judged.where(~F.col("found") | F.col("erased") | late(F.col("arrived"))).drop("earliest")
+
+
+def orphans(refs: list[DataFrame], known: list[DataFrame], base: int = 10) -> DataFrame:
     """Orphan references with their kind and month: missing, else deleted, else late. Copies come out once."""
-    every = reduce(DataFrame.unionByName, refs)
-    key = ["target", "tenant_id", "ref_key"]
-    distinct = every.groupBy(*key).agg(F.min("referred").alias("earliest"))
-    judged = match_runs(distinct, reduce(DataFrame.unionByName, known))
-    doubtful = judged.where(~F.col("found") | F.col("erased") | (F.col("arrived") > F.col("earliest"))).drop("earliest")
-    r, j = every.alias("r"), doubtful.alias("j")
-    same = (F.col("r.target") == F.col("j.target")) & (F.col("r.ref_key") == F.col("j.ref_key")) & F.col("r.tenant_id").eqNullSafe(F.col("j.tenant_id"))
+    every = numbered(reduce(DataFrame.unionByName, refs), base)
+    distinct = every.groupBy(*KEY).agg(F.min("referred").alias("earliest"))
+    parents_ = numbered(reduce(DataFrame.unionByName, known), base).groupBy(*KEY).agg(F.min("arrived").alias("arrived"), F.max("erased").alias("erased"))
+    j = judge(distinct, parents_).alias("j")
+    r = every.alias("r")
+    same = (F.col("r.target") == F.col("j.target")) & (F.col("r.block") == F.col("j.block")) & (F.col("r.n") == F.col("j.n")) & F.col("r.tenant_id").eqNullSafe(F.col("j.tenant_id"))
     kind = F.when(~F.col("found"), "missing").when(F.col("erased"), "deleted").when(F.col("arrived") > F.col("referred"), "late")
     return (
         r.join(j, same)
@@ -94,4 +118,4 @@ def memory_orphans(source_event: DataFrame, candidate: DataFrame, lineage: DataF
     # one scan of the events serves both targets: the second takes no notice of erasure
     both = events.withColumn("target", F.explode(F.array(F.lit("source_event"), F.lit("source_event_any")))).withColumn("erased", F.col("erased") & (F.col("target") == "source_event"))
     known = [both, parents(lineage, "memory_lineage", "memory_id", "created_at", F.lit(False)), parents(candidate, "memory_candidate", "candidate_id", "created_at", F.col("content_state") == "ERASED")]
-    return orphans(refs, known)
+    return orphans(refs, known, 16)
