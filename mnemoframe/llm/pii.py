@@ -1,9 +1,10 @@
 """Personal data in free text (problem 4): found, scored and replaced by typed placeholders.
 
 Texts are scanned a batch at a time: one automaton marks literal anchors (name words, contexts, street words, at-signs) and two
-expressions mark numbers; rules then look only at the anchors' surroundings. A span's score is that of its shape, raised by a
-checksum that holds and by context words before it, lowered by words for other kinds of numbers. JSON escapes are read through
-without changing anything outside the spans.
+expressions mark numbers; rules then look only at the anchors' surroundings. A number's score is that of its shape, its context words
+and, where its shape has one, its checksum: without words that name an identity number, a shape with a checksum counts only if the
+checksum holds, and one that fails sinks a number that is merely called a number. JSON escapes are read through without changing
+anything outside the spans.
 """
 
 from __future__ import annotations
@@ -19,16 +20,20 @@ from pyspark.sql import DataFrame, functions as F
 TYPES = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")  # in order of precedence
 
 # Words and contexts in English, German, Spanish and Chinese.
-NAME_BEFORE = (
-    "my name is", "mi nombre es", "me llamo", "ich heiße", "mein name ist", "ansprechpartner ist", "ansprechpartnerin ist", "姓名", "联系人", "我叫", "收件人",
-    "signed off by", "caregiver", "please loop in", "kind regards,", "kid regards,", "best regards,", "thanks,",
-)
+INTRODUCTIONS = ("my name is", "name is", "i am", "mi nombre es", "me llamo", "soy", "ich heiße", "ich bin", "mein name ist", "ansprechpartner ist", "ansprechpartnerin ist", "contact is", "contacto es", "姓名", "联系人", "我叫", "我是", "收件人")
+CLOSINGS = ("regards,", "thanks,", "cheers,", "sincerely,", "yours,", "best,", "saludos,", "gracias,", "grüße,", "danke,")
+SIGNED = tuple(f"{x} by" for x in ("signed", "signed off", "approved", "written", "sent", "reviewed", "prepared", "submitted", "requested", "reported", "checked"))
+NAME_BEFORE = (*INTRODUCTIONS, *CLOSINGS, *SIGNED)
+ROLES = tuple("caregiver nurse doctor patient client customer guest tenant landlord manager supervisor teacher student driver owner assistant colleague neighbour lawyer kundin mieter mieterin leiter leiterin kollege kollegin pfleger pflegerin paciente clienta gerente vecino vecina".split())
+REQUESTS = ("loop in", "contact", "ask for", "speak to", "talk to", "write to", "notify", "invite")
+PERSON_VERBS = tuple("called approved picks picked signed wrote asked said confirmed visited lives works phoned replied complained".split())
+DEPARTMENTS = tuple(f"from {x}" for x in ("accounts", "sales", "support", "finance", "legal", "marketing", "billing", "operations"))
 NAME_FIELDS = ("holder", "customer_name", "customer name", "full-name", "full_name", "full name", "fullname", "attn", "display_name", "contact_name", "contact name", "recipient", "patient", "employee", "nombre", "cliente", "kunde", "unterschrift")
-NAME_AFTER = ("called about the booking", "approved it", "picks up the parcel", "from accounts")
 TITLES = ("dr.", "mr.", "mrs.", "ms.", "prof.", "herr ", "frau ", "sr.", "sra.")
 NOT_NAMES = frozenset("the a an and or of for module cluster theme rollout is was passed restarted service project team build release branch ticket when while until unless since because so if with to from in on at by per not plus see der die das el la los las un una und y monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split())
 PHONE_WORDS = ("tel", "phone", "mobile", "cell", "call", "callback", "text me", "new number", "rückruf", "telefon", "llame", "teléfono", "móvil", "手机", "电话", "致电", "fax", "whatsapp", "handy")
-ID_WORDS = ("passport", "pasaporte", "reisepass", "tax number", "tax id", "tax_id", "social insurance", "national identity", "national_id", "national id", "identity", "driver licence", "driver license", "driving licence", "driver_licence", "licence no", "dni", "nif", "nie", "ssn", "nino", "ausweis", "steuer", "führerschein", "sozialversicherung", "身份证", "护照", "税号", "驾照", "驾驶证", "社保", "id_number", "id number")
+ID_WORDS = ("passport", "pasaporte", "reisepass", "tax number", "tax id", "tax_id", "social insurance", "national identity", "national_id", "national id", "identity", "licence", "license", "dni", "nif", "nie", "ssn", "nino", "ausweis", "steuer", "führerschein", "sozialversicherung", "身份证", "护照", "税号", "驾照", "驾驶证", "社保", "id_number", "id number")
+NUMBER_WORDS = ("number", "no.", "id", "nr", "nummer", "número", "号码")
 OTHER_NUMBERS = ("order", "ticket", "part", "part number", "part no", "invoice", "batch", "build", "trace", "score", "ping", "window", "version", "release", "serial", "lot", "sku", "item", "tracking", "bestellung", "rechnung", "charge", "teil", "pedido", "factura", "lote", "pieza", "订单", "发票", "批次", "工单", "零件", "构建", "note", "route", "port", "commit", "job", "issue", "line")
 STREETS = "street|road|lane|avenue|drive|close|court|terrace|way|crescent|square|place|boulevard|grove|gardens|mews|hill|row|walk|parade|highway"
 STREETS_CUT = "st|rd|ln|ave|dr|blvd|ct|ter|cres"
@@ -48,7 +53,7 @@ _WORD = "[^\\W\\d_一-鿿]"
 _CAP = rf"[^\W\d_a-zß-öø-ÿ一-鿿]{_WORD}+(?:['’-]{_WORD}+)*"
 _FULL = re.compile(rf"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra)\.? )?((?:{_CAP}|[^\W\d_]\.)(?: [^\W\d_]\.)?(?: |, ){_CAP})(?![\w@＠-])")
 _BACK = re.compile(rf"(?<!\w)((?:{_CAP}|[^\W\d_]\.)(?: [^\W\d_]\.)?(?: |, ){_CAP})[ ,]*\Z")
-_SMALL = re.compile(rf"({_WORD}{{3,}}(?: {_WORD}\.)?(?: |, ){_WORD}{{3,}})(?=\Z|[;/|).,!?\n\"\0]| \|| [^\W\d_a-zß-öø-ÿ]|{'|'.join(' ' + x for x in (*NAME_AFTER, 'before the', 'after the'))})")
+_SMALL = re.compile(rf"({_WORD}{{3,}}(?: {_WORD}\.)?(?: |, ){_WORD}{{3,}})(?=\Z|[;/|).,!?\n\"\0]| \|| [^\W\d_a-zß-öø-ÿ]|{'|'.join(f' {x}' for x in (*PERSON_VERBS, *DEPARTMENTS, 'before the', 'after the'))})")
 _LONE = re.compile(rf"(?:[;/|(∙] ?|\bre: ?|\bfwd |-- )((?:{_CAP}|[^\W\d_]\.)(?: [^\W\d_]\.)? {_CAP})(?= ?[;/|).!,?\"\0\n]|\Z)|, ([^\W\d_]\. {_CAP})(?= ?[;/|).!,?\"\0\n]|\Z)")
 _SMALL_BACK = re.compile(rf"(?:\A|[;/|(.!?\n\"\0∙] ?|, )({_WORD}{{3,}}(?: {_WORD}\.)? {_WORD}{{3,}}) \Z")
 _TOLD = re.compile(rf"(?:{'|'.join(map(re.escape, NAME_BEFORE))})[\\s:：=>-]{{1,4}}\\Z")
@@ -85,6 +90,16 @@ def mod11(text: str) -> bool:
     return len(text) == 18 and text[:17].isdigit() and "10X98765432"[sum(int(c) * pow(2, 17 - k, 11) for k, c in enumerate(text[:17])) % 11] == text[17].upper()
 
 
+def mod23(text: str) -> bool:
+    """The letter after a number of seven or eight digits."""
+    return text[:-1].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(text[:-1]) % 23] == text[-1].upper()
+
+
+def key97(digits: str) -> bool:
+    """A number of 11 or 15 digits whose last two are 97 less the rest modulo 97."""
+    return len(digits) in (11, 15) and int(digits[-2:]) == 97 - int(digits[:-2]) % 97
+
+
 def unescape(raw: str) -> tuple[str, list[int] | None]:
     """The text with JSON escapes read, and the place in ``raw`` of each of its characters (and of the end); None if equal."""
     if "\\" not in raw:
@@ -126,7 +141,7 @@ def automaton(names: dict[str, str]) -> object:
 
     a = ahocorasick.Automaton()
     entries: dict[str, list[str]] = {}
-    for words, kind in ((names, "name"), (NAME_BEFORE, "before"), (NAME_FIELDS, "field"), (NAME_AFTER, "after"), (TITLES, "before"), (GERMAN_STREETS, "german"), (SPANISH_STREETS, "spanish"), (("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "[at]", "(at)", "{at}", "[ at ]", "( at )", " at "), "at")):
+    for words, kind in ((names, "name"), (NAME_BEFORE, "before"), (NAME_FIELDS, "field"), (ROLES, "role"), (REQUESTS, "role"), (PERSON_VERBS, "after"), (DEPARTMENTS, "after"), (TITLES, "before"), (GERMAN_STREETS, "german"), (SPANISH_STREETS, "spanish"), (("@", "＠", "%40", "&#64;", "&#x40;", "&commat;", "[at]", "(at)", "{at}", "[ at ]", "( at )", " at "), "at")):
         for w in words:
             entries.setdefault(w, []).append(kind)
     for w, kinds in entries.items():
@@ -146,38 +161,46 @@ def _number(text: str, a: int, b: int, lettered: bool) -> str | None:
     """ID_NUMBER, PHONE or None, by shape, checksum and context."""
     s = text[a:b]
     left = lowered(text[max(0, a - 36) : a])
-    for stop in ("; ", "\n", ". ", " | ", ", "):
+    left = re.sub(r"\b(no|nr|núm|num)\. ", r"\1 ", left)  # these dots end no sentence
+    for stop in ("; ", "\n", ". ", " | ", ", ", '","'):
         left = left.rpartition(stop)[2] if not left.endswith(stop) else ""
     if _OTHER.search(left):
         return None
     as_id, as_phone = _context(left, ID_WORDS), _context(left, PHONE_WORDS)
+    as_number = not as_id and _context(left, NUMBER_WORDS)
     core = re.sub(r"(?: ?(?:ext|extn|x|durchwahl|分机)\.? ?\d{1,5})\Z", "", s, flags=re.I)
     digits = "".join(str(int(c)) for c in core if c.isdigit())
+    # what a checksum says: +1 holds, -1 fails, 0 there is none for the shape
+    says = lambda holds: 1 if holds else -1
     if lettered:
         letters = sum(c.isalpha() for c in core)
         bare = re.sub(r"[^A-Za-z0-9]", "", core)
-        iban = len(bare) >= 15 and letters >= 2
-        if iban and not as_id:
-            return None
-        upper = core.upper() == core
-        score = 0.6 + 0.4 * upper + 0.3 * luhn(digits) + 0.3 * (iban and mod97(bare.upper())) + 0.8 * as_id
+        if len(bare) >= 15 and letters >= 2:  # an account number, unless it is none and stands where an identity number should
+            return "ID_NUMBER" if as_id and not mod97(bare.upper()) else None
+        score, check = 1.0, 0
         if re.fullmatch(r"\d{7,8}-?[A-Za-z]", core):
-            score -= 0.6
+            score, check = 0.5, says(mod23(bare))
+        elif re.fullmatch(r"[A-Za-z]{1,2}\d{7,9}", core):
+            score, check = 0.7, says(luhn(digits))
+        score += 0.9 * as_id + 0.3 * as_number + (0.5 if check > 0 else 0.3 * check) - 0.4 * (core.upper() != core)
         return "ID_NUMBER" if score >= 1 else None
     digits += core[-1] if core[-1] in "xX" else ""
     n, groups = len(digits), [len(g) for g in re.findall(r"\d+", core)]
     plus = s[0] in "+＋"
     if not plus and re.match(r"(?:19|20)\d\d[-./]\d\d?[-./]\d\d?(?:\D|\Z)", core):
         return None
-    id_score = 0.9 * as_id - 0.9 * as_phone
+    shape, check = 0.2 if 6 <= n <= 18 else 0.0, 0
     if n == 18 and len(groups) == 1:
-        id_score += 1.0 + 0.2 * mod11(digits)
+        shape, check = 0.5, says(mod11(digits))
     elif groups == [2, 3, 3, 3] and not plus:
-        id_score += 1.0 + 0.2 * luhn(digits)
+        shape, check = 0.5, says(luhn(digits) or key97(digits))
     elif groups == [3, 2, 4] and not plus and "(" not in core:
-        id_score += 1.0
-    elif 6 <= n <= 18:
-        id_score += 0.2
+        shape = 1.0  # has no checksum
+    elif n in (11, 15) and len(groups) == 1 and not plus:
+        shape, check = 0.4, says(key97(digits))
+    elif n in (9, 10, 13) and len(groups) == 1 and not plus:
+        shape, check = 0.3, says(luhn(digits))
+    id_score = shape + 0.9 * as_id + 0.3 * as_number + (0.5 if check > 0 else 0.3 * check) - 0.9 * as_phone
     phone_score = 0.9 * as_phone - 0.9 * as_id
     single = len(groups) >= 7 and sum(g == 1 for g in groups) >= len(groups) - 1
     if plus and 8 <= n <= 15 or core[0] in "(（" and 7 <= n <= 13:
@@ -233,12 +256,22 @@ def find(text: str, auto: object, names: dict[str, str]) -> list[Span]:
                         found.append(Span(h.start(), h.start() + 4, "NAME"))
                     elif h[0][0] in SURNAMES:
                         found.append(Span(h.start(), h.start() + 3, "NAME"))
+            elif kind == "role":  # a weak cue: a name in capitals right after it
+                if (start and text[start - 1].isalnum()) or text[end : end + 1] != " ":
+                    continue
+                m = _FULL.match(text, end + 1) or _SMALL.match(text, end + 1)
+                if m and _likely(m[1], names):
+                    found.append(Span(*m.span(1), "NAME"))
+                elif (h := HAN.match(text, end + 1)) and (2 <= len(h[0]) <= 4 and h[0][0] in SURNAMES or 3 <= len(h[0]) <= 5 and h[0][:2] in DOUBLE_SURNAMES):
+                    found.append(Span(*h.span(), "NAME"))
             elif kind == "after":
+                if text[end : end + 1].isalnum() or not start or text[start - 1].isalnum():
+                    continue
                 left = text[max(0, start - 60) : start].rpartition("\0")[2]
                 m = _BACK.search(left)
-                if m and not {w.strip(",.").lower() for w in m[1].split()} & NOT_NAMES:
+                if m and _likely(m[1], names):
                     found.append(Span(start - len(left) + m.start(1), start - len(left) + m.end(1), "NAME"))
-                elif (m := _SMALL_BACK.search(left)) and not set(m[1].split()) & NOT_NAMES:
+                elif (m := _SMALL_BACK.search(left)) and _likely(m[1], names):
                     found.append(Span(start - len(left) + m.start(1), start - len(left) + m.end(1), "NAME"))
                 elif h := re.search(r"([一-鿿]{2,5})[ ,]*\Z", left):
                     found.append(Span(start - len(left) + h.start(1), start - len(left) + h.end(1), "NAME"))
@@ -262,7 +295,7 @@ def find(text: str, auto: object, names: dict[str, str]) -> list[Span]:
                     found.append(Span(start, m.end(), "ADDRESS"))
     for m in ENGLISH_ADDRESS.finditer(text):
         words = m[0].split()
-        if "\0" not in m[0] and not any(w.lower().strip(",.") in NOT_NAMES or w.lower().strip(",.") in ("changes", "note", "units", "noise") for w in words[1:]):
+        if "\0" not in m[0] and not any(w.lower().strip(",.") in NOT_NAMES for w in words[1:]):
             street = [w for w in words if w[:1].isalpha()]
             if any(w[0].isupper() for w in street) or re.search(rf"\d+ ?[a-z]? [^\W\d_][\w'-]{{5,}} (?:street|road|avenue|lane|terrace|way|close|drive|court|st|rd|ln|ave)\b", m[0]):
                 found.append(Span(*m.span(), "ADDRESS"))
@@ -286,6 +319,14 @@ def find(text: str, auto: object, names: dict[str, str]) -> list[Span]:
     return _resolve(found)
 
 
+def _likely(said: str, names: dict[str, str]) -> bool:
+    """Whether two words beside a weak cue are a name: capitalised, or in one case throughout with a known name word."""
+    words = [w.strip(",.").lower() for w in said.split()]
+    if set(words) & NOT_NAMES or "\0" in said:
+        return False
+    return (all(w[0].isupper() for w in said.split()) and not said.isupper()) or any(w in names for w in words)
+
+
 def _alone(text: str, a: int, b: int) -> bool:
     """Whether the span stands by itself between marks, as a note or list item does."""
     left, right = text[max(0, a - 5) : a], text[b : b + 2]
@@ -387,9 +428,12 @@ def _runner(names: dict[str, str], masked: bool, chunk: int) -> Callable[[Iterat
     return run
 
 
-def name_words(tokens: DataFrame) -> dict[str, str]:
-    """The fixed-size table of name words, at most 10,000 of them; a word of both uses counts as given."""
-    rows = tokens.select(F.lower("name_token"), "token_use").where(F.col("name_token") != "").distinct().limit(10_000).collect()
+def name_words(tokens: DataFrame, most: int = 200_000) -> dict[str, str]:
+    """The name words, lower-case, with their use; a word of both uses counts as given. More than ``most`` are an error, as they go to every worker."""
+    distinct = tokens.select(F.lower("name_token").alias("word"), "token_use").where(F.col("word") != "").distinct()
+    if (n := distinct.count()) > most:
+        raise ValueError(f"{n} name words, more than {most}")
+    rows = distinct.collect()
     return {r[0]: r[1] for r in sorted(rows, key=lambda r: (r[1] or "", r[0]))} | {r[0]: "given" for r in rows if r[1] == "given"}
 
 

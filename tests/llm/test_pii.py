@@ -54,6 +54,37 @@ def test_checksums():
     assert pii.mod11("11010519491231002X") and not pii.mod11("110105194912310021")
 
 
+@pytest.mark.parametrize(("validator", "text", "held", "failed"), [
+    ("mod11", "seen {} there", "11010519491231002X", "110105194912310021"),
+    ("luhn", "number {} there", "046454286", "046454287"),
+    ("luhn", "{} there", "QX1234566", "QX1234567"),
+    ("mod23", "{} there", "12345678Z", "12345678A"),
+    ("key97", "id {} there", "85073003328", "85073003329"),
+])
+def test_a_checksum_decides(validator, text, held, failed, auto):
+    assert getattr(pii, validator)(held if validator != "luhn" else held.lstrip("QX")) and not getattr(pii, validator)(failed if validator != "luhn" else failed.lstrip("QX"))
+    assert kinds(text.format(held), auto) == [("ID_NUMBER", held)] and kinds(text.format(failed), auto) == []
+
+
+def test_an_account_number_is_no_identity_number(auto):
+    assert kinds("tax id GB82WEST12345698765432", auto) == [] and kinds("tax id GB82WEST12345698765433", auto) == [("ID_NUMBER", "GB82WEST12345698765433")]
+
+
+def test_words_that_name_the_number_outweigh_the_checksum(auto):
+    assert kinds("passport no. 110105194912310021", auto) == [("ID_NUMBER", "110105194912310021")]
+
+
+def test_many_name_words(spark):
+    letters = "abcdefghij"
+    word = lambda k: "Zu" + "".join(letters[int(c)] for c in str(k))
+    tokens = spark.createDataFrame([(word(k), "family") for k in range(10_001)] + [("Darius", "given")], "name_token string, token_use string")
+    assert len(pii.name_words(tokens)) == 10_002
+    df = spark.createDataFrame([("t", str(k), f"told darius {word(k).lower()} so") for k in (0, 10_000)], "table_name string, record_id string, text string")
+    assert {r[1] for r in pii.personal_types(df, tokens).collect()} == {"0", "10000"}
+    with pytest.raises(ValueError, match="10002 name words"):
+        pii.name_words(tokens, most=10_000)
+
+
 def test_rest_is_unchanged_through_escapes(auto):
     inner = "姓名: 诸葛青柚\n\"call\" +44 7700 900123 \U0001f600 now"
     for raw in (json.dumps({"text": inner}), json.dumps({"text": inner}, ensure_ascii=False), json.dumps({"text": inner})[:-2], "a\0b\\" + inner):
