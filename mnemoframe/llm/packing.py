@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mnemoframe.llm.tokens import TOKENIZER_DIR, sizer
+from mnemoframe.llm.tokens import TOKENIZER_DIR, budgets, sizer
 
 SCHEMA = "doc_id {kind}, capacity_tokens int, container_id string, part_no int, token_start int, n_tokens int"
 
@@ -121,9 +121,10 @@ def containers(docs: DataFrame, budget: DataFrame, id_column: str = "doc_id", te
 
     A text over the capacity is cut into full containers and a rest, which is packed with the others; no other is cut.
     A null or empty text takes no room and lies in some container of its block with a size of 0. Copies are packed one by one.
-    An empty table gives no rows.
+    An empty table gives no rows. Container ids name the capacity, the map task, its block and the window, so they follow the splits of the
+    input: they are unique within a result, and another run over other splits packs otherwise.
     """
-    capacities = sorted({r[0] for r in budget.where((F.col("budget_use") == "container") & (F.col("tokenizer") == name)).select("capacity_tokens").limit(1000).collect() if r[0] and r[0] > 0})
+    capacities = sorted({r[0] for r in budgets(budget, "container", name, ("capacity_tokens",)) if r[0] and r[0] > 0})
     kind = docs.schema[id_column].dataType.simpleString()
     out = docs.select(F.col(id_column).alias("doc_id"), text_column).mapInArrow(_packer(capacities, name, folder, block), SCHEMA.format(kind=kind))
     return out.withColumnRenamed("doc_id", id_column)

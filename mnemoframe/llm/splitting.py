@@ -1,31 +1,31 @@
-"""Splitting of long texts at natural boundaries (problem 8) by a bounded-quantifier regular expression.
+"""Splitting of long texts at natural boundaries (problem 8) by bounded-quantifier regular expressions and SQL array functions.
 
-A text becomes one letter per token that says how strong the boundary after that token is. The expression's alternatives, strongest
-first, consume up to the limit of these letters; the last falls back to any whole character. The next piece looks back by
-the overlap. Pieces leave Python as one array a text and are spread by SQL array functions.
+Python encodes each text once and gives one letter per token that says how strong the boundary after that token is, and where tokens
+end. From there on SQL works: an expression whose alternatives, strongest first, consume up to the limit of these letters and at last fall
+back to any whole character cuts the letters into pieces; array functions add up their lengths, look back by the overlap and take the
+text. Merges never cross the end of a token, so a run of whole tokens has no more tokens when it is encoded by itself.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from mnemoframe.llm.tokens import TOKENIZER_DIR, sizer
+from mnemoframe.llm.tokens import TOKENIZER_DIR, budgets, sizer
 
-SCHEMA = "doc_id {kind}, capacity_tokens int, overlap_tokens int, pieces array<struct<char_start:int,char_end:int,n_tokens:int,piece:string>>"
+SCHEMA = "doc_id {kind}, marks string, char_ends array<int>, byte_ends array<int>, whole array<int>, data binary"
 #: UTF-8 ends of sentences and clauses without a space after them.
 WIDE_STOPS, WIDE_COMMAS = ("。", "！", "？"), ("，", "；", "、", "：")
 
 
-def expression(most: int) -> re.Pattern[str]:
+def expression(most: int) -> str:
     """Up to ``most`` letters: the whole rest, else to the last boundary of the strongest kind in the window's second half."""
     least = max(0, most // 2 - 1)
     natural = "|".join(f".{{{least},{most - 1}}}{kind}" for kind in "plscw")
-    return re.compile(f".{{1,{most}}}\\Z|{natural}|.{{0,{most - 1}}}[^z]|z*[^z]")
+    return f".{{1,{most}}}\\z|{natural}|.{{0,{most - 1}}}[^z]|z*[^z]"
 
 
 def letters(raw: np.ndarray, ends: np.ndarray) -> str:
@@ -49,76 +49,76 @@ def letters(raw: np.ndarray, ends: np.ndarray) -> str:
     return out.tobytes().decode("ascii")
 
 
-def pieces(data: bytes, encoding: object, limit: int, overlap: int, ids: list[int], lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Byte ranges and token counts of the pieces; none has more than ``limit`` tokens when encoded by itself, but for a character that has."""
-    ends = np.cumsum(lengths[ids])
-    marks = letters(np.frombuffer(data, np.uint8), ends)
-    first, later = expression(limit), expression(max(1, limit - overlap))
-    starts = np.concatenate([[0], ends]).tolist()
-    count = lambda a, b: len(encoding.encode_ordinary(data[starts[a] : starts[b]].decode()))
-    done = 0
-    while done < len(ids):
-        end = (later if done else first).match(marks, done).end()
-        begin = max(0, done - overlap) if done else 0
-        while begin and marks[begin - 1] == "z":
-            begin -= 1
-        while (n := count(begin, end)) > limit:
-            tried = end
-            end = done + max(1, (end - done) * 3 // 4)
-            while marks[end - 1] == "z" and end < tried:
-                end += 1
-            if end == tried:  # nothing is left to cut off: give up overlap instead
-                if begin == done:
-                    break
-                begin = min(done, begin + max(1, (done - begin) // 2))
-                while begin < done and marks[begin - 1] == "z":
-                    begin += 1
-        yield starts[begin], starts[end], n
-        done = end
-
-
-def _splitter(budgets: list[tuple[int, int]], name: str, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marker(name: str, folder: str, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text of more than ``least`` tokens: its letters, where each token ends in characters (begun) and bytes, and the next token border that cuts no character."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = sizer(name, folder)
         lengths = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)], np.int64)
+        number = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]), pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0)]), pa.int32()))
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
                 keys: list[int] = []
-                limits: list[tuple[int, int]] = []
-                offsets, rows = [0], []
+                marks, chars, places, borders, data = [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     ids = encoding.encode_ordinary(text)
-                    over = [b for b in budgets if len(ids) > b[0]]
-                    if not over:
+                    if len(ids) <= least:
                         continue
-                    data = text.encode()
-                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-                    for limit, overlap in over:
-                        for a, b, n in pieces(data, encoding, limit, overlap, ids, lengths):
-                            rows.append((chars[a], chars[b], n, data[a:b].decode()))
-                        keys.append(k)
-                        limits.append((limit, overlap))
-                        offsets.append(len(rows))
-                cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                struct = pa.StructArray.from_arrays([*(pa.array(np.array(c, np.int32)) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["char_start", "char_end", "n_tokens", "piece"])
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    ends = np.cumsum(lengths[ids])
+                    begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    keys.append(k)
+                    marks.append(letters(raw, ends))
+                    chars.append(begun[ends])
+                    places.append(ends)
+                    border = np.concatenate([[True], np.frombuffer(marks[-1].encode(), np.uint8) != ord("z")])
+                    sound = np.flatnonzero(border)
+                    borders.append(sound[np.searchsorted(sound, np.arange(len(border)))])
+                    data.append(raw.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keys, pa.int64())), pa.array([x[0] for x in limits], pa.int32()), pa.array([x[1] for x in limits], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)],
-                    names=["doc_id", "capacity_tokens", "overlap_tokens", "pieces"],
+                    [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(marks, pa.string()), number(chars), number(places), number(borders), pa.array(data, pa.binary())],
+                    names=["doc_id", "marks", "char_ends", "byte_ends", "whole", "data"],
                 )
 
     return run
 
 
+def _ends(marks: Column, first: Column, later: Column) -> Column:
+    """Where the pieces end, in tokens: the first piece by one expression, the others by another."""
+    head = F.call_function("regexp_extract", marks, first, F.lit(0))
+    rest = F.regexp_extract_all(F.substr(marks, F.length(head) + 1), later, F.lit(0))
+    sizes = F.concat(F.array(F.length(head)), F.transform(rest, F.length))
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["ends"], acc["at"] + n).alias("ends"))
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), add, lambda acc: acc["ends"])
+
+
 def split(docs: DataFrame, budget: DataFrame, id_column: str = "doc_id", text_column: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """Pieces of each text that is longer than a piece size of the budget table (a few rows), numbered from 0.
 
-    Null, empty and short texts have no pieces. Copies are split one by one. Pieces cover the text; neighbours share the overlap
-    (a token more where it would cut a character). An empty table gives no rows.
+    Null, empty and short texts have no pieces. Copies are split one by one. Pieces cover the text; a piece begins the overlap before
+    the end of the one before, or up to three tokens later where that would cut a character. ``n_tokens`` counts the tokens of the text that
+    a piece holds; none is over its size but for a single character that is. An empty table gives no rows.
     """
-    rows = budget.where((F.col("budget_use") == "piece") & (F.col("tokenizer") == name)).select("capacity_tokens", "overlap_tokens").limit(1000).collect()
-    budgets = sorted({(r[0], min(max(r[1] or 0, 0), r[0] - 1)) for r in rows if r[0] and r[0] > 0})
+    limits = sorted({(r[0], min(max(r[1] or 0, 0), r[0] - 1)) for r in budgets(budget, "piece", name, ("capacity_tokens", "overlap_tokens")) if r[0] and r[0] > 0})
     kind = docs.schema[id_column].dataType.simpleString()
-    long = docs.where(F.octet_length(text_column) > min((b[0] for b in budgets), default=0)).select(F.col(id_column).alias("doc_id"), text_column)
-    out = long.mapInArrow(_splitter(budgets, name, folder), SCHEMA.format(kind=kind))
-    return out.select(F.col("doc_id").alias(id_column), "capacity_tokens", "overlap_tokens", F.posexplode("pieces").alias("piece_no", "p")).select(id_column, "capacity_tokens", "overlap_tokens", "piece_no", "p.*")
+    least = min((b[0] for b in limits), default=0)
+    long = docs.where(F.octet_length(text_column) > least).select(F.col(id_column).alias("doc_id"), text_column)
+    marked = long.where(F.lit(bool(limits))).mapInArrow(_marker(name, folder, least), SCHEMA.format(kind=kind))
+    each = F.filter(F.array(*(F.struct(F.lit(n).alias("size"), F.lit(o).alias("overlap"), F.lit(expression(n)).alias("first"), F.lit(expression(n - o)).alias("later")) for n, o in limits or [(1, 0)])), lambda b: F.length("marks") > b["size"])
+
+    def cut(b: Column) -> Column:
+        def piece(e: Column, i: Column) -> Column:
+            before = F.get("ends", i - 1)
+            back = F.greatest(F.lit(0), before - F.col("overlap_tokens"), e - F.col("capacity_tokens"))  # a last character of several tokens takes from the overlap
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get("whole", F.least(before, back)))
+            at = lambda name, k: F.when(k == 0, F.lit(0)).otherwise(F.get(name, k - 1))
+            place = at("byte_ends", begin)
+            text = F.decode(F.substr("data", place + 1, at("byte_ends", e) - place), "UTF-8")
+            return F.struct(at("char_ends", begin).alias("char_start"), at("char_ends", e).alias("char_end"), (e - begin).alias("n_tokens"), text.alias("piece"))
+
+        return F.transform("ends", piece)
+
+    per = marked.withColumn("b", F.explode(each)).select("*", F.col("b.size").alias("capacity_tokens"), F.col("b.overlap").alias("overlap_tokens")).withColumn("ends", _ends(F.col("marks"), F.col("b.first"), F.col("b.later")))
+    out = per.select("doc_id", "capacity_tokens", "overlap_tokens", cut(F.col("b")).alias("pieces"))
+    return out.select(F.col("doc_id").alias(id_column), "capacity_tokens", "overlap_tokens", F.posexplode_outer("pieces").alias("piece_no", "p")).select(id_column, "capacity_tokens", "overlap_tokens", "piece_no", "p.*")

@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, functions as F
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: The public pattern by which this family of byte-level BPE cuts a text before merging.
@@ -81,6 +81,14 @@ def spans(ids: list[int], name: str = "byte_bpe_50k", folder: str = TOKENIZER_DI
     return list(zip(*(x.tolist() for x in offsets(ids, name, folder)), strict=True))
 
 
+def budgets(table: DataFrame, use: str, name: str, columns: tuple[str, ...], most: int = 100_000) -> list[Row]:
+    """The distinct budgets of a use and tokenizer; more than ``most`` are an error, none is left out."""
+    rows = table.where((F.col("budget_use") == use) & (F.col("tokenizer") == name)).select(*columns).distinct()
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} budgets, more than {most}")
+    return rows.collect()
+
+
 def lists(values: list[list[int]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.int32()))
 
