@@ -1,6 +1,7 @@
 """Nearest vectors of every vector (problem 5) by robust-pruned directed graphs in shards.
 
-Cells of a k-means over a bounded sample make shards; a vector near the border of two cells stands in both. Each shard's graph is
+Cells of a k-means over a bounded sample make shards, cells that are still too large are cut again by a sample of their own; a vector
+near the border of two cells stands in both. Each shard's graph is
 built by greedy searches that propose neighbours and by relaxed distance pruning that keeps diverse edges; beam
 search, started at each vector's own edges, gives its neighbours. Shards' results are merged by double-precision similarity.
 """
@@ -190,10 +191,43 @@ def cells(x: np.ndarray, rows: float, target: int, most: int, seed: int = 0, rou
 
 
 class Plan(NamedTuple):
-    """What the sample gives of one model: centroids, and the raw bytes of vectors that many rows share."""
+    """What the samples give of one model: centroids, those within cells that were cut again, and the raw bytes of vectors that many rows share."""
 
     centroids: np.ndarray
-    heavy: tuple[bytes, ...]
+    heavy: tuple[bytes, ...] = ()
+    within: dict[int, np.ndarray] = {}  # noqa: RUF012  (never changed)
+    first: dict[int, int] = {}  # noqa: RUF012  the number of the first shard of a cell that was cut
+
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest shard of each unit vector, the next one, and the similarities of both."""
+        near = unit @ self.centroids.T
+        at = np.arange(len(near))
+        top = np.full((2, len(near)), -1, np.int64)
+        sims = np.full((2, len(near)), -9.0, np.float32)
+        for k in range(min(2, near.shape[1])):
+            top[k] = near.argmax(axis=1)
+            sims[k] = near[at, top[k]]
+            near[at, top[k]] = -9
+        if not self.within:
+            return top[0], np.maximum(top[1], 0), sims[0], sims[1]
+        shards, best = np.full((3, len(near)), -1, np.int64), np.full((3, len(near)), -9.0, np.float32)
+        for k in range(2):  # of the nearest cell its two nearest shards, of the next cell its nearest
+            for cell in np.unique(top[k][top[k] >= 0]).tolist():
+                mine = np.flatnonzero(top[k] == cell)
+                if cell not in self.within:
+                    shards[2 * k, mine], best[2 * k, mine] = cell, sims[k, mine]
+                    continue
+                inner = unit[mine] @ self.within[cell].T
+                row = np.arange(len(mine))
+                one = inner.argmax(axis=1)
+                shards[2 * k, mine], best[2 * k, mine] = self.first[cell] + one, inner[row, one]
+                if k == 0 and inner.shape[1] > 1:
+                    inner[row, one] = -9
+                    two = inner.argmax(axis=1)
+                    shards[1, mine], best[1, mine] = self.first[cell] + two, inner[row, two]
+        order = np.argsort(-best, axis=0, kind="stable")[:2]
+        shards, best = np.take_along_axis(shards, order, 0), np.take_along_axis(best, order, 0)
+        return shards[0], shards[1], best[0], best[1]
 
 
 def _usable(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
@@ -226,7 +260,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _learn(rows_per_sample: float, target: int, most: int, share: float) -> Callable[[pa.Table], pa.Table]:
+    """Centroids and shared vectors of a sample: of a model's (cell -1), or of a cell's that is cut again, where a vector of more than ``target`` rows counts."""
+
     def run(rows: pa.Table) -> pa.Table:
+        cell = rows["cell"][0].as_py()
         by_length: dict[int, list[bytes]] = {}
         for v in rows["vec"].to_pylist():
             by_length.setdefault(len(v), []).append(v)
@@ -235,13 +272,15 @@ def _learn(rows_per_sample: float, target: int, most: int, share: float) -> Call
             counts: dict[bytes, int] = {}
             for v in vectors:
                 counts[v] = counts.get(v, 0) + 1
-            heavy = [v for v, c in counts.items() if c >= max(20, share * len(vectors))]
-            light = [v for v in vectors if counts[v] < max(20, share * len(vectors))] or heavy
+            enough = max(20, share * len(vectors)) if cell < 0 else max(8, target / rows_per_sample)
+            heavy = [v for v, c in counts.items() if c >= enough]
+            light = [v for v in vectors if counts[v] < enough] or heavy
             x = np.frombuffer(b"".join(light), np.float32).reshape(len(light), length // 4).astype(np.float64)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            out.append((rows["model"][0].as_py(), length // 4, cells(x, len(light) * rows_per_sample, target, most).tobytes(), heavy))
+            out.append((rows["model"][0].as_py(), cell, length // 4, cells(x, len(light) * rows_per_sample, target, most).tobytes(), heavy))
         cols = list(zip(*out, strict=True))
-        return pa.table({"model": pa.array(cols[0], pa.string()), "d": pa.array(cols[1], pa.int32()), "centroids": pa.array(cols[2], pa.binary()), "heavy": pa.array(cols[3], pa.list_(pa.binary()))})
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["model", "cell", "d", "centroids", "heavy"])
 
     return run
 
@@ -249,7 +288,7 @@ def _learn(rows_per_sample: float, target: int, most: int, share: float) -> Call
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for model, _, raw, _ in _usable(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([model] * len(raw), pa.string()), _binary(raw)], names=["model", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(raw), pa.string()), pa.array([-1] * len(raw), pa.int32()), _binary(raw)], names=["model", "cell", "vec"])
 
 
 def _assign(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -274,13 +313,8 @@ def _assign(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iter
                         ids, raw, unit = ids.filter(pa.array(keep)), raw[keep], unit[keep]
                         if not len(raw):
                             continue
-                near = unit @ plan.centroids.T
-                first = near.argmax(axis=1)
-                at = np.arange(len(near))
-                best = near[at, first].copy()
-                near[at, first] = -9
-                second = near.argmax(axis=1)
-                twin = near[at, second] >= best - margin
+                first, second, best, next_best = plan.place(unit)
+                twin = next_best >= best - margin
                 yield rows(model, d, first, ids, twin, raw)
                 if twin.any():
                     yield rows(model, d, second[twin], ids.filter(pa.array(twin)), np.ones(int(twin.sum()), bool), raw[twin])
@@ -294,9 +328,29 @@ def _placed(plans: dict[tuple[str, int], Plan], margin: float) -> Callable[[Iter
 
 
 def _filled(plan: Plan, sizes: dict[int, int], least: int) -> Plan:
-    """The plan without cells of fewer than ``least`` ids; their rows go to the next cell, so others only grow. The largest stays."""
-    keep = [j for j in range(len(plan.centroids)) if sizes.get(j, 0) >= least] or [max(range(len(plan.centroids)), key=lambda j: sizes.get(j, 0))]
-    return Plan(plan.centroids[keep], plan.heavy)
+    """The plan without shards of fewer than ``least`` ids; their rows go to the next one, so others only grow. The largest stays."""
+    within, cut = {}, {}
+    for cell, c in plan.within.items():
+        keep = [j for j in range(len(c)) if sizes.get(plan.first[cell] + j, 0) >= least]
+        if keep:
+            within[cell], cut[cell] = c[keep], sum(sizes.get(plan.first[cell] + j, 0) for j in keep)
+    size = lambda j: cut.get(j, 0) or sizes.get(j, 0)
+    keep = [j for j in range(len(plan.centroids)) if size(j) >= least] or [max(range(len(plan.centroids)), key=size)]
+    return _numbered(plan.centroids[keep], plan.heavy, {k: within[j] for k, j in enumerate(keep) if j in within})
+
+
+def _numbered(centroids: np.ndarray, heavy: tuple[bytes, ...], within: dict[int, np.ndarray]) -> Plan:
+    """Shards of cells that were cut again are numbered behind the cells."""
+    first, at = {}, len(centroids)
+    for cell in sorted(within):
+        first[cell] = at
+        at += len(within[cell])
+    return Plan(centroids, heavy, within, first)
+
+
+def _hashed(share: float) -> F.Column:
+    """About this share of the ids, the same ones on every run."""
+    return F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 50)) < F.lit(max(1, int(share * (1 << 50))))
 
 
 def _pairs(k: int, degree: int, width: int, alpha: float) -> Callable[[pa.Table], pa.Table]:
@@ -343,25 +397,54 @@ def _pairs(k: int, degree: int, width: int, alpha: float) -> Callable[[pa.Table]
     return run
 
 
-def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sample: int = 60_000, target: int = 2_000, most_cells: int = 4_096, margin: float = 0.1, degree: int = 16, width: int = 16, alpha: float = 1.1, heavy_share: float = 1e-3) -> DataFrame:
+def shards(picked: DataFrame, k: int, sample: int, target: int, most_cells: int, margin: float, heavy_share: float, per_shard: int, most_shards: int) -> dict[tuple[str, int], Plan]:
+    """The plan of each model and length: cells by a bounded sample, those that hold too many ids cut again, those that hold too few dissolved."""
+    total = max(1, picked.count())
+    share = min(1.0, sample / total)
+    some = picked if share >= 1 else picked.where(_hashed(share))
+    plan_schema = "model string, cell int, d int, centroids binary, heavy array<binary>"
+    learned = some.mapInArrow(_sampled, "model string, cell int, vec binary").groupBy("model").applyInArrow(_learn(1 / share, target, most_cells, heavy_share), plan_schema).collect()
+    matrix = lambda r: np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, r["d"])
+    plans = {(r["model"], r["d"]): Plan(matrix(r), tuple(bytes(v) for v in r["heavy"])) for r in learned}
+
+    def counted() -> dict[str, dict[int, int]]:
+        sizes: dict[str, dict[int, int]] = {}
+        for r in picked.mapInArrow(_placed(plans, margin), "model string, shard int, id string").where("shard >= 0").groupBy("model", "shard").agg(F.countDistinct("id").alias("n")).collect():
+            sizes.setdefault(r["model"], {})[r["shard"]] = r["n"]
+        return sizes
+
+    sizes = counted()
+    large = [(m, j, n) for m, by in sizes.items() for j, n in by.items() if n > 4 * target]
+    if large:
+        if (wanted := sum(n for *_, n in large) // target) > most_shards:
+            raise ValueError(f"about {wanted} shards, more than {most_shards}: raise target or most_shards")
+        # a cell that is too large is cut by a sample of its own; all samples together hold a few rows a shard
+        few = min(1.0, per_shard / target)
+        cells_ = picked.sparkSession.createDataFrame([(m, j) for m, j, _ in large], "model string, shard int")
+        rows_of = (picked if few >= 1 else picked.where(_hashed(few))).mapInArrow(_assign(plans, margin), "model string, shard int, id string, twin boolean, vec binary").join(F.broadcast(cells_), ["model", "shard"])
+        inner = rows_of.select(F.expr("substring_index(model, '/', length(model) - length(replace(model, '/', '')))").alias("model"), F.col("shard").alias("cell"), "vec")
+        again = inner.groupBy("model", "cell").applyInArrow(_learn(1 / few, target, most_shards, heavy_share), plan_schema).collect()
+        for key, plan in plans.items():
+            mine = [r for r in again if (r["model"], r["d"]) == key]
+            heavy_too = tuple(dict.fromkeys([*plan.heavy, *(bytes(v) for r in mine for v in r["heavy"])]))
+            plans[key] = _numbered(plan.centroids, heavy_too, {r["cell"]: matrix(r) for r in mine})
+        sizes = counted()
+    plans = {(m, d): _filled(p, sizes.get(f"{m}/{d}", {}), k + 1) for (m, d), p in plans.items()}
+    return plans
+
+
+def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sample: int = 60_000, target: int = 2_000, most_cells: int = 4_096, margin: float = 0.1, degree: int = 16, width: int = 16, alpha: float = 1.1, heavy_share: float = 1e-3, per_shard: int = 32, most_shards: int = 1_000_000) -> DataFrame:
     """Pairs (a, b), a < b, of usable rows of one model of which at least one is among the k nearest of the other.
 
     ``rows``: id, embedding_model_version, embedding_dimensions, embedding. Rows without id or model, or whose vector is null, of
     another length, not finite or all zero, are left out; copies of an id count once. ``sample`` bounds the rows that fit the
-    cells (all rows are indexed and searched). Vectors that at least ``heavy_share`` of the sample has are the same are kept out
+    cells (all rows are indexed and searched); a cell of more than four times ``target`` ids is cut again, by ``per_shard`` sampled rows of
+    it for each shard to come. The centroids go to every task, so more than ``most_shards`` of them are an error. Vectors that at least ``heavy_share`` of the sample has are the same are kept out
     of the shards but for their k + 1 least ids, which are the neighbours of all the others (a group of at most k ids stands there
-    whole): no group of equal vectors enters one task.
+    whole); so are vectors of more than ``target`` rows in a cell that is cut again. No group of equal vectors enters one task.
     """
     picked = rows.select(F.col(id_column).alias("id"), F.col("embedding_model_version").alias("model"), F.col("embedding_dimensions").alias("d"), "embedding")
-    total = max(1, rows.count())
-    share = min(1.0, sample / total)
-    some = picked if share >= 1 else picked.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    learned = some.mapInArrow(_sampled, "model string, vec binary").groupBy("model").applyInArrow(_learn(1 / share, target, most_cells, heavy_share), "model string, d int, centroids binary, heavy array<binary>").collect()
-    plans = {(r["model"], r["d"]): Plan(np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, r["d"]), tuple(bytes(v) for v in r["heavy"])) for r in learned}
-    sizes: dict[str, dict[int, int]] = {}
-    for r in picked.mapInArrow(_placed(plans, margin), "model string, shard int, id string").where("shard >= 0").groupBy("model", "shard").agg(F.countDistinct("id").alias("n")).collect():
-        sizes.setdefault(r["model"], {})[r["shard"]] = r["n"]
-    plans = {(m, d): _filled(p, sizes.get(f"{m}/{d}", {}), k + 1) for (m, d), p in plans.items()}
+    plans = shards(picked, k, sample, target, most_cells, margin, heavy_share, per_shard, most_shards)
     assigned = picked.mapInArrow(_assign(plans, margin), "model string, shard int, id string, twin boolean, vec binary")
     indexed = assigned.where("shard >= 0")
     heavy = any(p.heavy for p in plans.values())
@@ -375,9 +458,9 @@ def nearest_pairs(rows: DataFrame, id_column: str = "version_id", k: int = 5, sa
         for model, d, j, i in stand:
             plan = plans[model, int(d)]
             v = np.frombuffer(plan.heavy[-1 - j], np.float32)
-            near = plan.centroids @ (v / np.linalg.norm(v.astype(np.float64))).astype(np.float32)
-            cells_of = np.flatnonzero(near >= near.max() - margin)
-            rows += [(f"{model}/{d}", int(c), i, True, v.tobytes()) for c in cells_of[np.argsort(-near[cells_of])][:2]]
+            one, two, best, next_best = plan.place((v / np.linalg.norm(v.astype(np.float64))).astype(np.float32)[None, :])
+            stands = [int(one[0])] + [int(two[0])] * bool(next_best[0] >= best[0] - margin)
+            rows += [(f"{model}/{d}", c, i, True, v.tobytes()) for c in stands]
         indexed = indexed.unionByName(picked.sparkSession.createDataFrame(rows, "model string, shard int, id string, twin boolean, vec binary"))
     edges = indexed.groupBy("model", "shard").applyInArrow(_pairs(k, degree, width, alpha), "a string, b string, similarity double")
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")

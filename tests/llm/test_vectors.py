@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from mnemoframe.llm import vectors as V
 
@@ -49,6 +50,22 @@ def test_recall(spark):
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
 
 
+def test_large_cells_are_cut_again(spark):
+    x = clustered(1800, 16, 60, 4)
+    same = [1.0, 2.0, 3.0, 4.0, 0.0, 0.0, 0.0, 1.0] * 2
+    rows = [(f"v{k:05d}", "a/b", 16, v.tolist()) for k, v in enumerate(x)] + [(f"s{k:03d}", "a/b", 16, same) for k in range(250)]
+    how = dict(sample=600, target=50, most_cells=3, heavy_share=0.5)
+    picked = frame(spark, rows).selectExpr("version_id AS id", "embedding_model_version AS model", "embedding_dimensions AS d", "embedding")
+    plans = V.shards(picked, 5, margin=0.1, per_shard=32, most_shards=1000, **how)
+    sizes = picked.mapInArrow(V._placed(plans, 0.1), "model string, shard int, id string").where("shard >= 0").groupBy("shard").count().collect()
+    assert len(sizes) > 20 and max(r[1] for r in sizes) <= 4 * 50  # the 250 equal ones stand apart
+    want, got = brute(rows), found(spark, rows, **how)
+    light = {p for p in want if not p[0][0] == p[1][0] == "s"}
+    assert len(got & want) / len(want) >= 0.93 and len(got & light) / len(light) >= 0.9
+    with pytest.raises(ValueError, match="shards, more than 3"):
+        V.shards(picked, 5, margin=0.1, per_shard=32, most_shards=3, **how)
+
+
 def test_small_and_dirty_rows_are_exact(spark):
     x = clustered(60, 8, 4, 1)
     rows = [(f"v{k:03d}", "m", 8, v.tolist()) for k, v in enumerate(x)]
