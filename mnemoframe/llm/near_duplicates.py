@@ -3,7 +3,7 @@
 Statements equal after normalising are one class. Trigrams are ordered from rare to frequent by a sketch of counts over all statements;
 two sets that are similar enough share one of their first, rarest trigrams. Classes with the same prefix and size are one group;
 groups that meet in the prefix index pass a bound on the overlap still possible, then their members are verified. A large
-predicate is cut into parts by hash of the prefix trigrams; a pair comes out of the part that owns its first common trigram.
+predicate is cut by set size into blocks of equal weight; every two blocks whose sizes allow it meet in one task, which holds these two only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mnemoframe.functions.text import WHITE_SPACE
 from mnemoframe.session import cut_lineage
@@ -69,28 +69,8 @@ def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + (size > 0)
 
 
-def _route(seen: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Copies of a row for the parts that own its prefix trigrams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = batch.column(3).to_numpy()
-            codes, begin = trigrams(batch.column(2).to_pylist())
-            take, part = [], []
-            for k, p in enumerate(parts.tolist()):
-                own = codes[begin[k] : begin[k + 1]]
-                own = own[np.lexsort((own, seen[bucket(own)]))][: int(_prefix(np.array([len(own)]), threshold)[0])]
-                mine = np.unique(bucket(own) % p).tolist()
-                take += [k] * len(mine)
-                part += mine
-            rows = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(part, pa.int32()), rows.column(1), rows.column(2), rows.column(3)], names=["pred", "part", "rep", "norm", "parts"])
-
-    return run
-
-
-def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of the texts with their similarity of at least ``threshold``; of several parts, those that ``part`` owns."""
+def join(texts: list[str], seen: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of the texts with their similarity of at least ``threshold``; with ``side`` (0 or 1 per text), those of different sides."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     chunks = []
     for at in range(0, len(texts), 4096):  # sorting takes several times the room of its result
@@ -101,26 +81,24 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     size = np.concatenate([n for _, n in chunks])
     begin = np.concatenate([[0], np.cumsum(size)])
     known = np.unique(np.concatenate([np.unique(codes) for codes, _ in chunks]))
-    heard = bucket(known)
     rank_of = np.empty(len(known), np.int32)
-    rank_of[np.lexsort((known, seen[heard]))] = np.arange(len(known), dtype=np.int32)
-    owner = np.empty(len(known), np.int64)
-    owner[rank_of] = heard % parts
+    rank_of[np.lexsort((known, seen[bucket(known)]))] = np.arange(len(known), dtype=np.int32)
     sorted_chunks = []
     for codes, n in chunks:
         r = rank_of[np.searchsorted(known, codes)]
         sorted_chunks.append(r[np.lexsort((r, np.repeat(np.arange(len(n)), n)))])
     ranks = np.concatenate(sorted_chunks)
     del chunks, sorted_chunks
+    side = np.zeros(len(texts), np.int8) if (whole := side is None) else side
 
     # groups: classes of one prefix and one size, in order of size
     docs = np.argsort(size, kind="stable")
     docs = docs[size[docs] > 0]
-    places: dict[tuple[int, bytes], int] = {}
+    places: dict[tuple[int, int, bytes], int] = {}
     members: list[list[int]] = []
     length = _prefix(size, threshold)
     for d in docs.tolist():
-        key = int(size[d]), ranks[begin[d] : begin[d] + length[d]].tobytes()
+        key = int(side[d]), int(size[d]), ranks[begin[d] : begin[d] + length[d]].tobytes()
         g = places.setdefault(key, len(members))
         if g == len(members):
             members.append([])
@@ -136,29 +114,30 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
     flat = np.concatenate([ranks[begin[h] : begin[h] + n] for h, n in zip(head.tolist(), g_len.tolist(), strict=True)])
     group = np.repeat(np.arange(count), g_len)
     indexed = np.arange(len(flat)) - np.repeat(np.cumsum(g_len) - g_len, g_len) < np.repeat(i_len, g_len)
-    owned = owner[flat] == part
-    keys = np.sort(flat[indexed & owned].astype(np.int64) * count + group[indexed & owned])
-    posts = (keys % count).astype(np.int32)
+    g_side = side[head]
+    keys, posts = [], []
+    for k in (0, 1):  # the other side's groups are what a group may meet; without sides all are
+        mine = indexed & (g_side[group] == k) if not whole else indexed
+        keys.append(np.sort(flat[mine].astype(np.int64) * count + group[mine]))
+        posts.append((keys[k] % count).astype(np.int32))
+        if whole:
+            break
     starts = np.concatenate([[0], np.cumsum(g_len)])
     lowest = np.searchsorted(g_size, np.ceil(threshold * g_size - 1e-9))
 
     mark = np.zeros(len(known), bool)
     one, two, sims = [], [], []
 
-    def verify(d: int, others: np.ndarray, others_owned: bool) -> None:
+    def verify(d: int, others: np.ndarray) -> None:
         own = ranks[begin[d] : begin[d + 1]]
         mark[own] = True
         sizes = size[others]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1]) + np.repeat(begin[others] - (ends - sizes), sizes)
         token = ranks[at]
-        hit = mark[token]
-        shared = np.add.reduceat(hit, ends - sizes, dtype=np.int64)
+        shared = np.add.reduceat(mark[token], ends - sizes, dtype=np.int64)
         sim = shared / (sizes + len(own) - shared)
         good = sim >= threshold
-        if others_owned and good.any():  # members of one group meet by their whole prefix
-            first = np.minimum.reduceat(np.where(hit, token, np.iinfo(np.int32).max), ends - sizes)
-            good &= owner[np.minimum(first, len(owner) - 1)] == part
         mark[own] = False
         if good.any():
             two.append(others[good])
@@ -170,47 +149,24 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
         rest = np.where(last[a] < last_indexed[b], g_size[a] - g_len[a], g_size[b] - i_len[b])
         return common + rest >= np.ceil(threshold / (1 + threshold) * (g_size[a] + g_size[b]) - 1e-9)
 
-    if parts > 1:
-        word, bit = flat * 7919 % 512 // 64, np.uint64(1) << (flat * 7919 % 64).astype(np.uint64)
-        probe_bits, index_bits = np.zeros((count, 8), np.uint64), np.zeros((count, 8), np.uint64)
-        np.bitwise_or.at(probe_bits, (group, word), bit)
-        np.bitwise_or.at(index_bits, (group[indexed], word[indexed]), bit[indexed])
-        clash = i_len - np.bitwise_count(index_bits).sum(axis=1, dtype=np.int64)  # trigrams of one group that share a bit
-
-    block = max(1, (1 << 21) // max(count, len(known) if parts > 1 else 1))
+    block = max(1, (1 << 21) // count)
     for low in range(0, count, block):
         high = min(count, low + block)
-        mine = owned[starts[low] : starts[high]]
-        tokens, probe = flat[starts[low] : starts[high]][mine], group[starts[low] : starts[high]][mine] - low
-        if not len(tokens):
-            continue  # another part owns all that these groups could meet by
-        base = tokens.astype(np.int64) * count
-        first = np.searchsorted(keys, base + lowest[probe + low])
-        n = np.searchsorted(keys, base + probe + low) - first  # earlier groups that are large enough
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - n)).astype(np.int32), n)
-        met = np.bincount(posts[at] + np.repeat((probe * count).astype(np.int32), n), minlength=(high - low) * count)
-        pair = np.flatnonzero(met > 0)
+        tokens, probe = flat[starts[low] : starts[high]], group[starts[low] : starts[high]] - low
+        met = np.zeros((high - low) * count, np.int32)
+        for k in range(len(keys)):
+            mine = slice(None) if whole else g_side[probe + low] != k
+            own, by = tokens[mine], probe[mine]
+            if not len(own) or not len(keys[k]):
+                continue
+            base = own.astype(np.int64) * count
+            first = np.searchsorted(keys[k], base + lowest[by + low])
+            n = np.searchsorted(keys[k], base + by + low) - first  # earlier groups that are large enough
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - n)).astype(np.int32), n)
+            met += np.bincount(posts[k][at] + np.repeat((by * count).astype(np.int32), n), minlength=len(met)).astype(np.int32)
+        pair = np.flatnonzero(met)
         a, b, common = pair // count + low, pair % count, met[pair]
-        if parts > 1 and len(a):
-            # only some of the common trigrams belong to this part: count all, and leave the pair to the part of the first
-            near = np.zeros((high - low, len(known)), bool)
-            near[group[starts[low] : starts[high]] - low, flat[starts[low] : starts[high]]] = True
-            # signatures of the prefixes give a first, cheap bound on it
-            for at in range(0, len(a), 1 << 18):
-                x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
-                common[at : at + (1 << 18)] = np.bitwise_count(probe_bits[x] & index_bits[y]).sum(axis=1, dtype=np.int64) + clash[y]
-            ok = _possible(a, b, common)
-            a, b, common = a[ok], b[ok], common[ok]
-            for at in range(0, len(a), 100_000):
-                x, y = a[at : at + 100_000], b[at : at + 100_000]
-                n = i_len[y]
-                ends = np.cumsum(n)
-                token = ranks[np.arange(ends[-1]) + np.repeat(begin[head[y]] - (ends - n), n)]
-                hit = near[np.repeat(x - low, n), token]
-                common[at : at + 100_000] = np.add.reduceat(hit, ends - n, dtype=np.int64)
-                first = np.minimum.reduceat(np.where(hit, token, np.iinfo(np.int32).max), ends - n)
-                common[at : at + 100_000][owner[np.minimum(first, len(owner) - 1)] != part] = -BUCKETS * BUCKETS
         ok = _possible(a, b, common)
         a, b = a[ok], b[ok]
         edges = np.searchsorted(a, np.arange(low, high + 1))
@@ -219,21 +175,59 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, part: int = 0, pa
             near = b[edges[g - low] : edges[g - low + 1]]
             some = [m for h in near.tolist() for m in members[h]]
             for k, d in enumerate(mine):
-                others = some + mine[:k]
+                others = some + mine[:k] if whole else some
                 if others:
-                    verify(d, np.array(others), parts > 1)
+                    verify(d, np.array(others))
     return (np.concatenate(one), np.concatenate(two), np.concatenate(sims)) if one else none
 
 
-def _joiner(seen: np.ndarray, threshold: float) -> Callable[[pa.Table], pa.Table]:
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) join two parts that earlier ones left apart: as few links with the same components."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := top(x)) != (y := top(y)):
+            parent[x] = y
+            keep[k] = True
+    return keep
+
+
+LINKS = "a string, b string, similarity double, n_links long"
+
+
+def _joiner(seen: np.ndarray, threshold: float, summed: bool) -> Callable[[pa.Table], pa.Table]:
+    """Linked pairs of a task; ``summed``: links enough to span their components, and rows (a, null, null, n) with each class's number of links."""
+
     def run(rows: pa.Table) -> pa.Table:
-        a, b, s = join(rows["norm"].to_pylist(), seen, threshold, rows["part"][0].as_py(), rows["parts"][0].as_py())
+        blocks = rows["block"].to_numpy()
+        crossing = rows["i"][0].as_py() != rows["j"][0].as_py()
+        a, b, s = join(rows["norm"].to_pylist(), seen, threshold, (blocks == rows["j"][0].as_py()).astype(np.int8) if crossing else None)
         rep = rows["rep"].combine_chunks()
-        return pa.table({"a": rep.take(pa.array(a)).cast(pa.string()), "b": rep.take(pa.array(b)).cast(pa.string()), "similarity": pa.array(s, pa.float64())})
+        name = lambda at: rep.take(pa.array(at)).cast(pa.string())
+        none = lambda n: pa.nulls(n, pa.int64())
+        if not summed:
+            return pa.table({"a": name(a), "b": name(b), "similarity": pa.array(s, pa.float64()), "n_links": none(len(a))})
+        keep = _spanning(a, b)
+        nodes, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        links = pa.table({"a": name(a[keep]), "b": name(b[keep]), "similarity": pa.array(s[keep], pa.float64()), "n_links": none(int(keep.sum()))})
+        return pa.concat_tables([links, pa.table({"a": name(nodes), "b": pa.nulls(len(nodes), pa.string()), "similarity": pa.nulls(len(nodes), pa.float64()), "n_links": pa.array(n, pa.int64())})])
 
     return run
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, begin = trigrams(batch.column(2).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(begin), pa.int64())], names=["pred", "rep", "norm", "size"])
+
+
 def statements(candidates: DataFrame) -> DataFrame:
     """Rows (id, pred, norm); those with a null id, predicate or content are left out."""
     return candidates.select(F.col("candidate_id").alias("id"), F.lower(F.btrim("predicate", F.lit(WHITE_SPACE))).alias("pred"), normalised(F.col("normalized_content")).alias("norm")).dropna()
@@ -244,23 +238,47 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pred", "norm").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
 
 
-def similar_classes(every: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
-    """Pairs (a, b, similarity) of class representatives with different contents."""
+def blocks(sized: DataFrame, room: int) -> DataFrame:
+    """Adds ``block``: by size of the trigram set, blocks of a predicate weigh about ``room`` each, however its sizes are spread.
+
+    Where blocks begin comes from a running sum over the counts by size; statements of one size are spread by hash.
+    """
+    order = Window.partitionBy("pred").orderBy("size")
+    spread = sized.groupBy("pred", "size").agg(F.sum("weight").alias("w")).withColumn("upto", F.sum("w").over(order)).select("pred", "size", "w", "upto")
+    place = F.col("upto") - F.col("w") * (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) + 1) / (1 << 20)
+    return sized.join(spread, ["pred", "size"]).withColumn("block", F.floor(place / room).cast("int")).drop("w", "upto")
+
+
+def meetings(blocked: DataFrame, threshold: float) -> DataFrame:
+    """A row of each block for each task (i, j), i <= j, in which it meets another: those whose sizes allow a pair, and its own."""
+    ends = blocked.groupBy("pred", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    x, y = ends.alias("x"), ends.alias("y")
+    near = (F.col("x.pred") == F.col("y.pred")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") >= F.ceil(F.col("y.least") * threshold - 1e-9))
+    tasks = x.join(y, near).select("x.pred", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = tasks.select("pred", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return blocked.join(sides, ["pred", "block"]).select("pred", "i", "j", "block", "rep", "norm")
+
+
+def similar_classes(every: DataFrame, threshold: float, rows_per_task: int, summed: bool = False) -> DataFrame:
+    """Pairs (a, b, similarity) of class representatives with different contents, or with ``summed`` what :func:`_joiner` says.
+
+    ``rows_per_task``: how many statements of 160 characters a task may hold; longer ones count as more.
+    """
     seen = frequencies(every.select("norm"))
-    # a few parts share a predicate's work, each over all of its statements; beyond what one task may hold, parts
-    # are so many that the statements routed to one, by about as many trigrams as a prefix has, stay within it
-    n, room = F.col("n"), 3 * rows_per_task
-    count = F.when(n <= room, n / rows_per_task).otherwise(n * F.greatest(F.col("prefix"), F.lit(1.0)) / room)
-    sizes = every.groupBy("pred").agg(F.count("*").alias("n"), (F.avg(F.length("norm")) * (1 - threshold)).alias("prefix"))
-    parts = sizes.select("pred", F.ceil(count).cast("int").alias("parts"))
-    sized = every.select("pred", "rep", "norm").join(parts, "pred")
-    names = ["pred", "part", "rep", "norm", "parts"]
-    whole = sized.where("parts = 1").withColumn("part", F.lit(0)).select(*names)  # these need no trigrams to be routed
-    cut = sized.where("parts > 1").select("pred", "rep", "norm", "parts").mapInArrow(_route(seen, threshold), "pred string, part int, rep string, norm string, parts int")
-    routed = whole.unionByName(cut)
+    weight = F.greatest(F.lit(1.0), F.length("norm") / 160)
+    names = ["pred", "i", "j", "block", "rep", "norm"]
+    sums = every.groupBy("pred").agg(F.sum(weight).alias("total"))
+    marked = every.select("pred", "rep", "norm").join(sums, "pred")
+    whole = marked.where(F.col("total") <= rows_per_task).select("pred", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "rep", "norm")
+    large = marked.where(F.col("total") > rows_per_task).select("pred", "rep", "norm")
+    sized = large.mapInArrow(_sizes, "pred string, rep string, norm string, size long").where("size > 0").withColumn("weight", weight)
+    if sums.where(F.col("total") > rows_per_task).isEmpty():
+        routed = whole
+    else:  # a task holds two blocks
+        routed = whole.unionByName(meetings(cut_lineage(blocks(sized, max(1, rows_per_task // 2))), threshold)).select(*names)
     # groups differ much in cost: more partitions than usual, which adaptive execution leaves apart
-    spread = routed.repartition(4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pred", "part")
-    return spread.groupBy("pred", "part").applyInArrow(_joiner(seen, threshold), "a string, b string, similarity double")
+    spread = routed.repartition(4 * int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pred", "i", "j")
+    return spread.groupBy("pred", "i", "j").applyInArrow(_joiner(seen, threshold, summed), LINKS)
 
 
 def similar_pairs(candidates: DataFrame, threshold: float = 0.7, rows_per_task: int = 20_000) -> DataFrame:
@@ -306,11 +324,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def groups(candidates: DataFrame, threshold: float = 0.7, rows_per_task: int = 20_000) -> DataFrame:
-    """One row per candidate: its class (equal statements), its group (linked classes) and the number of classes its class is linked to."""
+    """One row per candidate: its class (equal statements), its group (linked classes) and the number of classes its class is linked to.
+
+    Tasks count the links and hand on only as many as span their components, so the pairs within a large group are never listed.
+    """
     rows = statements(candidates)
     every = cut_lineage(classes(rows))
-    links = cut_lineage(similar_classes(every, threshold, rows_per_task).select("a", "b"))
-    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    found = cut_lineage(similar_classes(every, threshold, rows_per_task, summed=True))
+    links = found.where("b IS NOT NULL").select("a", "b")
+    degree = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
     roots = components(links).select(F.col("node").alias("rep"), "root")
     known = every.join(degree, "rep", "left").join(roots, "rep", "left").select("pred", "norm", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.join(known, ["pred", "norm"]).select(F.col("id").alias("candidate_id"), "class_id", "group_id", "n_links").distinct()

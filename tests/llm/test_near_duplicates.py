@@ -61,10 +61,12 @@ def test_equals_brute_force(spark):
 @given(st.lists(st.text("abc ", max_size=14), max_size=25), st.sampled_from([0.5, 0.7, 0.8]), st.sampled_from([1, 2, 5]))
 def test_join_is_exact_whatever_the_parts(texts, threshold, parts):
     texts = sorted({" ".join(t.split()) for t in texts})
-    got = []
-    for part in range(parts):
-        a, b, s = nd.join(texts, np.zeros(nd.BUCKETS, np.int64), threshold, part, parts)
-        got += [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    got, none = [], np.zeros(nd.BUCKETS, np.int64)
+    for i in range(parts):
+        for j in range(i, parts):  # every two of the parts
+            own = [k for k in range(len(texts)) if k % parts in (i, j)]
+            a, b, _ = nd.join([texts[k] for k in own], none, threshold, None if i == j else np.array([k % parts == j for k in own], np.int8))
+            got += [(min(own[x], own[y]), max(own[x], own[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     want = {(i, j) for i, j in combinations(range(len(texts)), 2) if (g := grams(texts[i])) | (h := grams(texts[j])) and len(g & h) / len(g | h) >= threshold}
     assert sorted(got) == sorted(want)
 
@@ -100,3 +102,23 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(60)] + [("x", "y")], "a string, b string")
     got = {r.node: r.root for r in nd.components(links).collect()}
     assert all(got[f"{k:03d}"] == "000" for k in range(1, 61)) and got["y"] == "x"
+
+
+def test_tasks_hold_two_blocks_of_a_large_predicate(spark):
+    rng = random.Random(7)
+    texts = {f"c{k:04d}": "the same beginning of all of them " + " ".join(rng.choice("abcdefghijklmnop") * rng.randint(2, 9) for _ in range(rng.randint(1, 9))) for k in range(3000)}
+    every = spark.createDataFrame([("p", i, t, i) for i, t in texts.items()], "pred string, rep string, norm string, last string")
+    sized = every.select("pred", "rep", "norm").mapInArrow(nd._sizes, "pred string, rep string, norm string, size long").selectExpr("*", "1.0D AS weight")
+    blocked = nd.blocks(sized, 200).cache()
+    assert {r["count"] for r in blocked.groupBy("block").count().collect()} <= set(range(150, 251)) and blocked.count() == 3000
+    tasks = nd.meetings(blocked, 0.7).groupBy("i", "j").count().collect()
+    n_blocks = blocked.select("block").distinct().count()
+    assert n_blocks >= 14 and max(r["count"] for r in tasks) <= 2 * 3000 / n_blocks * 1.2 and len(tasks) <= n_blocks * (n_blocks + 1) // 2
+    assert sum(r["count"] for r in tasks) < 3000 * n_blocks
+
+
+def test_groups_do_not_list_the_pairs_of_a_clique(spark):
+    base = "one statement that is said again and again with hardly any difference at its end "
+    every = spark.createDataFrame([("p", f"c{k:03d}", base + chr(97 + k // 26) + chr(97 + k % 26), f"c{k:03d}") for k in range(300)], "pred string, rep string, norm string, last string")
+    found = nd.similar_classes(every, 0.7, 20_000, summed=True).collect()
+    assert sum(r.b is not None for r in found) == 299 and {r.n_links for r in found if r.b is None} == {299}
