@@ -40,7 +40,9 @@ def key_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def expansion(left: DataFrame, right: DataFrame, repetitions: int) -> DataFrame:
-    """Every combination of two small key sets and a repetition number."""
+    """Every combination of two key sets and a repetition number; the right one is held by every task, so it may have 1,000 rows at most."""
+    if (n := right.count()) > 1000:
+        raise ValueError(f"{n} rows on the right, more than 1000")
     return left.join(F.broadcast(right), F.lit(True)).withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
 
 

@@ -74,10 +74,11 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, tokenise: Callab
     nothing rarer is asked for; no document matches a query without terms.
     """
     docs = corpus.select("doc_id", tokenise(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
-    postings = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = queries.select("query_id", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0)
     asked = terms.select("query_id", F.explode("terms").alias("term"))
+    # only postings of terms that some query asks for are counted and joined
+    postings = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     known = asked.join(df, "term", "left")
     rarest = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0").select("query_id", F.col("r.term").alias("term"))
     found = rarest.join(postings, "term").join(terms, "query_id").join(docs, "doc_id").where(F.size(F.array_except("terms", "tokens")) == 0)

@@ -53,15 +53,8 @@ def name_based_uuid(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "memory_lineage").select("memory_id", hashing.name_uuid(F.concat_ws("/", "tenant_id", "memory_id")).alias("derived_id")).distinct()
 
 
-@family.query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS normalised, length(text)::INTEGER AS n_chars FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')")
-def normalise_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Case and white space of ASCII texts, where the SQL's notion of both agrees; normalise_text_all takes every document."""
-    ascii = F.col("text").rlike(r"^[\x00-\x7F]*\z")
-    return normalised(table(spark, folder, "documents").where(ascii), T.squeeze(F.col("text")))
-
-
 @family.query()
-def normalise_text_all(spark: SparkSession, folder: str) -> DataFrame:
+def normalise_text(spark: SparkSession, folder: str) -> DataFrame:
     """Case and white space of every document; null texts stay null."""
     return normalised(table(spark, folder, "documents"), T.squeeze(F.col("text"), T.ANY_SPACE))
 
@@ -196,7 +189,7 @@ _RELATIONS = ("candidate_policy_decision", "customer", "documents", "embedding_m
 
 
 @family.query()
-def storage_rollup_all(spark: SparkSession, folder: str) -> DataFrame:
+def storage_rollup_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of whole rows as JSON over every relation, and their mean; engines differ in how they write JSON."""
     every = reduce(DataFrame.unionByName, (V.payload_bytes(table(spark, folder, t), t) for t in _RELATIONS))
     return every.withColumn("mean_bytes", F.round(F.try_divide("n_bytes", "n_rows"), 3))
@@ -286,8 +279,9 @@ def strict_payload(spark: SparkSession, folder: str) -> DataFrame:
 
 @family.query()
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    """The deterministic hashing embedder over distinct catalog and name words, and all lineage labels."""
-    labels = table(spark, folder, "memory_lineage").select(F.col("subject_label").alias("label")).distinct()
+    """The deterministic hashing embedder over the distinct catalog and name words and lineage labels."""
+    parts = (("predicate_catalog", "predicate"), ("person_name_token", "name_token"), ("memory_lineage", "subject_label"))
+    labels = reduce(DataFrame.unionByName, (table(spark, folder, t).select(F.col(c).alias("label")) for t, c in parts)).distinct()
     return labels.select("label", udfs.hash_embedding("label").alias("embedding"))
 
 
@@ -302,23 +296,6 @@ def json_differences(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql("SELECT version_id, d.path FROM {v} AS v, LATERAL json_differences(v.old, v.value_json) AS d", v=v)
 
 
-_GREETINGS = ("hello", "hi", "hey", "thanks", "thank you", "good morning", "good evening", "bye")  # fixed values
-
-
-@family.query("""WITH q AS (SELECT DISTINCT source_event_id, lower(trim(json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.content'))) AS q FROM source_event)
-SELECT source_event_id, CASE WHEN coalesce(q, '') = '' THEN 'EMPTY_QUERY' WHEN q IN ('hello', 'hi', 'hey', 'thanks', 'thank you', 'good morning', 'good evening', 'bye') THEN 'NO_MEMORY_NEED' ELSE 'RETRIEVE' END AS gate,
-CASE WHEN regexp_matches(q, 'switched from|replaced|moved its') THEN 'CHANGE' WHEN regexp_matches(q, 'used to|as of|back in') THEN 'HISTORICAL' ELSE 'PRESENT' END AS intent FROM q""")
-def query_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Gate and temporal intent of a query text, change before history."""
-    e = table(spark, folder, "source_event", "source_event_id", "payload").distinct()
-    q = F.lower(F.trim(F.get_json_object("payload", "$.content")))
-    valid = F.try_parse_json("payload").isNotNull()
-    e = e.select("source_event_id", F.when(valid, q).alias("q")).distinct()
-    gate = F.when(F.coalesce("q", F.lit("")) == "", "EMPTY_QUERY").when(F.col("q").isin(*_GREETINGS), "NO_MEMORY_NEED").otherwise("RETRIEVE")
-    intent = F.when(F.col("q").rlike("switched from|replaced|moved its"), "CHANGE").when(F.col("q").rlike("used to|as of|back in"), "HISTORICAL").otherwise("PRESENT")
-    return e.select("source_event_id", gate.alias("gate"), intent.alias("intent"))
-
-
 @family.query("""SELECT * FROM (
 SELECT 'memory_version' AS relation, 'interval_in_order' AS rule, count(*) FILTER (valid_time_start >= valid_time_end)::BIGINT AS n FROM memory_version
 UNION ALL SELECT 'memory_version', 'number_positive', count(*) FILTER (version_number < 1)::BIGINT FROM memory_version
@@ -381,11 +358,11 @@ def projection_build(spark: SparkSession, folder: str) -> DataFrame:
 
 @family.query("SELECT DISTINCT source_event_id FROM source_event WHERE source_event_id IS NOT NULL")
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids that a deduplicating stream lets through; its delay exceeds that of every redelivery here."""
+    """Ids that a deduplicating stream lets through: state covers 30 days of arrivals, what comes again later falls to the batch that reads the output."""
     from mnemoframe.streaming import pipelines as P
 
     e = P.source(spark, folder, "source_event").where("source_event_id IS NOT NULL").select("source_event_id", "received_at")
-    return P.drain(P.deduplicated(e, "3650 days")).select("source_event_id").distinct()
+    return P.drain(P.deduplicated(e, "30 days")).select("source_event_id").distinct()
 
 
 @family.query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS began, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
@@ -400,15 +377,17 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 @family.query("""WITH d AS (SELECT session_id, doc_id, created_at, row_number() OVER (PARTITION BY session_id ORDER BY created_at, doc_id) - 1 AS position FROM documents WHERE session_id IS NOT NULL AND created_at IS NOT NULL)
 SELECT session_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY position DESC) AS r FROM d WHERE created_at <= TIMESTAMP '2025-06-01') WHERE r <= 2""")
 def recent_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions within each session, and the last two up to a cut-off."""
-    from pyspark.sql import Window
+    """Positions within each session, and the last two up to a cut-off.
+
+    The last two are a partial top-k and a position is a count before the cut-off, so no session is sorted as a whole.
+    """
+    from mnemoframe.operators.relational import top_per_key
 
     d = table(spark, folder, "documents", "session_id", "doc_id", "created_at").where("session_id IS NOT NULL AND created_at IS NOT NULL")
-    # position and last place in one sort: the cut-off only takes rows off the end
-    w = Window.partitionBy("session_id").orderBy("created_at", "doc_id")
-    inside = F.col("created_at") <= F.to_timestamp_ntz(F.lit("2025-06-01 00:00:00"))
-    d = d.withColumns({"position": (F.row_number().over(w) - 1).cast("bigint"), "n": F.count_if(inside).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return d.where(inside & (F.col("position") >= F.col("n") - 2)).select("session_id", "doc_id", "position")
+    d = d.where(F.col("created_at") <= F.to_timestamp_ntz(F.lit("2025-06-01 00:00:00")))
+    last = top_per_key(d, ["session_id"], 2, F.desc("created_at"), F.desc("doc_id"))
+    sizes = d.groupBy("session_id").agg(F.count("*").alias("n"))
+    return last.join(sizes, "session_id").select("session_id", "doc_id", (F.col("n") - F.col("rank")).alias("position"))
 
 
 @family.query("""WITH p AS (SELECT DISTINCT ON (version_id) version_id, memory_id, list_filter(source_event_ids, lambda s: s IS NOT NULL AND trim(s) <> '') AS cited FROM memory_search_projection WHERE version_id IS NOT NULL AND source_event_ids IS NOT NULL),

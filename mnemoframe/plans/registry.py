@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import history, records, retrieval, upkeep
+from mnemoframe.plans import history, memories, records, retrieval, upkeep
 
-_PARTS = (history, retrieval, records, upkeep)
+_PARTS = (history, retrieval, memories, records, upkeep)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.rrf_fusion_all(spark, folder)
+    return retrieval.rrf_fusion(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,5 @@
-"""Retrieval queries.
-
-Those in ``_all`` search all rows: the vector source the whole embeddings table, the other sources the whole documents table, each
-asked by every row of its table whose id is divisible by 50, the lexical one with the whole text. The others, which their SQL checks, see only the ids that stand in both
-tables, with the first words of the document.
+"""Retrieval queries over all rows: the vector source searches the whole embeddings table, the other sources the whole documents table, each
+asked by every row of its table whose id is divisible by 50, the lexical one with the whole text.
 """
 
 from __future__ import annotations
@@ -18,108 +15,19 @@ family = Family()
 QUERIES, SQL = family.QUERIES, family.SQL
 K, COMPONENT, AT = 8, 40, "2025-09-01 00:00:00"
 
-BASE = """WITH corpus AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding, text, lang, source, created_at AS recorded_at FROM embeddings JOIN documents ON vec_id = doc_id),
-queries AS (SELECT doc_id AS query_id, embedding, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2]) AS terms, source, lang FROM corpus WHERE doc_id % 50 = 0),
-vec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
-  (SELECT query_id, doc_id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score FROM queries q, corpus c) QUALIFY rank <= 40),
-doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM corpus),
-lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
-  (SELECT query_id, doc_id, round(len(list_filter(tokens, lambda t: list_contains(terms, t))) / (1 + ln(len(tokens))), 9) AS score FROM queries, doc
-   WHERE len(terms) > 0 AND list_has_all(tokens, terms)) QUALIFY rank <= 40),
-str AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recorded_at DESC NULLS LAST, doc_id) AS rank FROM
-  (SELECT query_id, doc_id, recorded_at, CASE WHEN q.source = c.source THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM queries q JOIN corpus c ON q.source = c.source OR q.lang = c.lang) QUALIFY rank <= 40),
-rec AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score, rank FROM queries, (SELECT doc_id, row_number() OVER (ORDER BY recorded_at DESC, doc_id) AS rank FROM corpus WHERE recorded_at <= TIMESTAMP '2025-09-01 00:00:00' QUALIFY rank <= 40)),
-parts AS (SELECT query_id, doc_id, rank FROM vec UNION ALL SELECT query_id, doc_id, rank FROM lex UNION ALL SELECT query_id, doc_id, rank FROM str UNION ALL SELECT query_id, doc_id, rank FROM rec),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score, count(*)::BIGINT AS n_sources FROM parts GROUP BY 1, 2))
-"""
-
-
 def wide(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents", "doc_id", "text", "lang", "source", F.col("created_at").alias("recorded_at"))
-    e = table(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "embedding")
-    return e.join(d, "doc_id")
-
-
-def asked(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "embedding", F.array_distinct(F.slice(F.coalesce(R.words(F.col("text")), F.array().cast("array<string>")), 1, 2)).alias("terms"), "source", "lang")
-
-
-@family.query(BASE + "SELECT * FROM vec WHERE rank <= 8")
-def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    return wide(R.vector_topk(asked(docs), docs, K))
-
-
-@family.query(BASE + "SELECT * FROM lex WHERE rank <= 8")
-def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    return wide(R.lexical_topk(asked(docs), docs, K))
-
-
-@family.query(BASE + "SELECT * FROM str WHERE rank <= 8")
-def structured_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    return wide(R.structured_topk(asked(docs), docs, K))
-
-
-@family.query(BASE + "SELECT * FROM rec WHERE rank <= 8")
-def temporal_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder)
-    return wide(R.recent_topk(asked(docs), docs, K, ntz(AT)))
-
-
-def hybrid(spark: SparkSession, folder: str, limit: int | None = K) -> DataFrame:
-    docs = corpus(spark, folder)
-    q = asked(docs)
-    found = {"VECTOR": R.vector_topk(q, docs, COMPONENT), "LEXICAL": R.lexical_topk(q, docs, COMPONENT), "STRUCTURED": R.structured_topk(q, docs, COMPONENT), "TEMPORAL": R.recent_topk(q, docs, COMPONENT, ntz(AT))}
-    return R.fuse(found, limit=limit)
-
-
-@family.query(BASE + "SELECT * FROM fused WHERE rank <= 8")
-def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return wide(hybrid(spark, folder))
-
-
-@family.query(BASE + """, l AS (SELECT query_id, list({'used': coalesce(length(text), 0)::INTEGER, 'chosen': [f.doc_id], 'truncated': false} ORDER BY rank) AS items FROM fused f JOIN documents d ON f.doc_id = d.doc_id WHERE rank <= 8 GROUP BY 1),
-r AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= 1200 THEN {'used': acc.used + x.used, 'chosen': acc.chosen || x.chosen, 'truncated': acc.truncated}
-  ELSE {'used': acc.used, 'chosen': acc.chosen, 'truncated': true} END, {'used': 0::INTEGER, 'chosen': []::BIGINT[], 'truncated': false}) AS r FROM l)
-SELECT query_id, r.used AS used, r.chosen AS chosen, r.truncated AS truncated FROM r""")
-def context_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Items chosen within 1,200 characters a query, skipping what does not fit; an ordered fold, checked on small cases."""
-    texts = table(spark, folder, "documents", "doc_id", "text")
-    return R.assemble(hybrid(spark, folder).join(texts, "doc_id"), 1200)
-
-
-@family.query(BASE + """, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-hit AS (SELECT v.query_id, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first, count(g.doc_id) AS hits FROM vec v LEFT JOIN gold g ON v.query_id = g.query_id AND v.doc_id = g.doc_id WHERE rank <= 8 GROUP BY 1)
-SELECT count(*)::BIGINT AS n_queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 9) AS mrr, round(avg(hits / 8.0), 9) AS context_precision FROM hit""")
-def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Hit rate, mean reciprocal rank and context precision of the vector source; a document of the same label is relevant."""
-    return measured(vector_topk(spark, folder), spark, folder)
-
-
-def measured(ranked: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    labels = table(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "label")
-    wanted = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
-    r = ranked.join(labels, "doc_id").join(wanted, "query_id")
-    good = (F.col("label") == F.col("wanted")) & (F.col("doc_id") != F.col("query_id"))
-    per = r.groupBy("query_id").agg(F.min(F.when(good, F.col("rank"))).alias("first"), F.count_if(good).alias("hits"))
-    return per.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 9).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(F.col("hits") / 8.0), 9).alias("context_precision"))
-
-
 WHOLE = r"""WITH docs AS (SELECT doc_id, text, lang, source, created_at AS recorded_at FROM documents),
 vectors AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding FROM embeddings),
-queries AS (SELECT doc_id AS query_id, list_distinct(coalesce(regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+'), [])) AS terms, source, lang FROM docs WHERE doc_id % 50 = 0),
+queries AS (SELECT doc_id AS query_id, list_distinct(coalesce(regexp_extract(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+'), [])) AS terms, source, lang FROM docs WHERE doc_id % 50 = 0),
 vec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
   (SELECT q.doc_id AS query_id, c.doc_id, round(list_cosine_similarity(q.embedding, c.embedding), 9) AS score FROM vectors q, vectors c WHERE q.doc_id % 50 = 0) QUALIFY rank <= 40),
-doc AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+') AS tokens FROM docs),
+doc AS (SELECT doc_id, regexp_extract(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{M}\p{N}]+') AS tokens FROM docs),
 lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
   (SELECT query_id, doc_id, round(len(list_filter(tokens, lambda t: list_contains(terms, t))) / (1 + ln(len(tokens))), 9) AS score FROM queries, doc
-   WHERE len(terms) > 0 AND list_has_all(tokens, terms)) QUALIFY rank <= 40),
+   WHERE len(terms) > 0 AND list_has(tokens, terms)) QUALIFY rank <= 40),
 str AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recorded_at DESC NULLS LAST, doc_id) AS rank FROM
   (SELECT query_id, doc_id, recorded_at, CASE WHEN q.source = c.source THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM queries q JOIN docs c ON q.source = c.source OR q.lang = c.lang) QUALIFY rank <= 40),
 rec AS (SELECT query_id, doc_id, 1.0::DOUBLE AS score, rank FROM queries, (SELECT doc_id, row_number() OVER (ORDER BY recorded_at DESC, doc_id) AS rank FROM docs WHERE recorded_at <= TIMESTAMP '2025-09-01 00:00:00' QUALIFY rank <= 40)),
@@ -128,6 +36,15 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 """
 
 
+def measured(ranked: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "embeddings", F.col("vec_id").alias("doc_id"), "label")
+    wanted = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("wanted"))
+    r = ranked.join(labels, "doc_id").join(wanted, "query_id")
+    good = (F.col("label") == F.col("wanted")) & (F.col("doc_id") != F.col("query_id"))
+    per = r.groupBy("query_id").agg(F.min(F.when(good, F.col("rank"))).alias("first"), F.count_if(good).alias("hits"))
+    return per.agg(F.count("*").alias("n_queries"), F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 9).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(F.col("hits") / 8.0), 9).alias("context_precision"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text", "lang", "source", F.col("created_at").alias("recorded_at"))
 
@@ -145,30 +62,30 @@ def asking_vectors(vectors: DataFrame) -> DataFrame:
 
 
 @family.query(WHOLE + "SELECT * FROM vec WHERE rank <= 8")
-def vector_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = embeddings(spark, folder)
     return wide(R.vector_topk(asking_vectors(vectors), vectors, K))
 
 
 @family.query(WHOLE + "SELECT * FROM lex WHERE rank <= 8")
-def lexical_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return wide(R.lexical_topk(asking_documents(docs), docs, K, R.lexemes))
 
 
 @family.query(WHOLE + "SELECT * FROM str WHERE rank <= 8")
-def structured_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+def structured_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return wide(R.structured_topk(asking_documents(docs), docs, K))
 
 
 @family.query(WHOLE + "SELECT * FROM rec WHERE rank <= 8")
-def temporal_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+def temporal_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return wide(R.recent_topk(asking_documents(docs), docs, K, ntz(AT)))
 
 
-def hybrid_all(spark: SparkSession, folder: str, limit: int | None = K) -> DataFrame:
+def hybrid(spark: SparkSession, folder: str, limit: int | None = K) -> DataFrame:
     """Fused over the union: an id that asks in one table only has the candidates of that table's sources."""
     docs, vectors = documents(spark, folder), embeddings(spark, folder)
     q = asking_documents(docs)
@@ -177,22 +94,22 @@ def hybrid_all(spark: SparkSession, folder: str, limit: int | None = K) -> DataF
 
 
 @family.query(WHOLE + "SELECT * FROM fused WHERE rank <= 8")
-def rrf_fusion_all(spark: SparkSession, folder: str) -> DataFrame:
-    return wide(hybrid_all(spark, folder))
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    return wide(hybrid(spark, folder))
 
 
 @family.query(WHOLE + """, l AS (SELECT query_id, list({'used': coalesce(length(text), 0)::INTEGER, 'chosen': [f.doc_id], 'truncated': false} ORDER BY rank) AS items FROM fused f LEFT JOIN documents d ON f.doc_id = d.doc_id WHERE rank <= 8 GROUP BY 1),
 r AS (SELECT query_id, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.used <= 1200 THEN {'used': acc.used + x.used, 'chosen': acc.chosen || x.chosen, 'truncated': acc.truncated}
   ELSE {'used': acc.used, 'chosen': acc.chosen, 'truncated': true} END, {'used': 0::INTEGER, 'chosen': []::BIGINT[], 'truncated': false}) AS r FROM l)
 SELECT query_id, r.used AS used, r.chosen AS chosen, r.truncated AS truncated FROM r""")
-def context_budget_all(spark: SparkSession, folder: str) -> DataFrame:
+def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Items chosen within 1,200 characters a query; an embedding without a document counts as an empty text, as a null text does."""
     texts = table(spark, folder, "documents", "doc_id", "text")
-    return R.assemble(hybrid_all(spark, folder).join(texts, "doc_id", "left"), 1200)
+    return R.assemble(hybrid(spark, folder).join(texts, "doc_id", "left"), 1200)
 
 
 @family.query(WHOLE + """, gold AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 hit AS (SELECT v.query_id, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first, count(g.doc_id) AS hits FROM vec v LEFT JOIN gold g ON v.query_id = g.query_id AND v.doc_id = g.doc_id WHERE rank <= 8 GROUP BY 1)
 SELECT count(*)::BIGINT AS n_queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 9) AS mrr, round(avg(hits / 8.0), 9) AS context_precision FROM hit""")
-def retrieval_metrics_all(spark: SparkSession, folder: str) -> DataFrame:
-    return measured(vector_topk_all(spark, folder), spark, folder)
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return measured(vector_topk(spark, folder), spark, folder)

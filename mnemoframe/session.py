@@ -1,4 +1,4 @@
-"""Session defaults for local runs, and the shared checkpoint folder."""
+"""Session defaults for local runs, and the shared checkpoint folder. Classic sessions only: a Connect session has no Spark context."""
 
 from __future__ import annotations
 
@@ -33,12 +33,19 @@ def share_code(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; a temporary folder only on a local master where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="mnemoframe-checkpoint-"))
+    sc.setCheckpointDir(shared or local_folder(spark, "checkpoint"))
+
+
+def local_folder(spark: SparkSession, use: str) -> str:
+    """A temporary folder, which only a local master's executors can read; elsewhere the shared one must be set."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"mnemoframe-{use}-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -68,9 +68,11 @@ def stored_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"))
 
 
-def markdown(df: DataFrame, title: str, limit: int = 10_000) -> str:
-    """A report table of at most ``limit`` rows, streamed to the driver."""
+def markdown(df: DataFrame, title: str, most: int = 100_000) -> str:
+    """A report table, streamed to the driver; more than ``most`` rows are an error, none is left out."""
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} rows, more than {most}")
     cell = lambda x: "" if x is None else str(x).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
-    rows: Iterable[Any] = df.limit(limit).toLocalIterator()
+    rows: Iterable[Any] = df.toLocalIterator()
     line = lambda xs: "| " + " | ".join(map(cell, xs)) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), "|" + " - |" * len(df.columns), *map(line, rows)]) + "\n"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,12 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemoframe.operators.ingest import new_arrivals
 from mnemoframe.operators.lineage import Fold, Kept
+from mnemoframe.session import local_folder
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where that is unset."""
+    """A new folder under the cluster's shared checkpoint folder; a temporary one only on a local master where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='mnemoframe-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared or local_folder(spark, 'stream')}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:

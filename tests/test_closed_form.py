@@ -34,6 +34,6 @@ def test_all_event_types(spark, tmp_path):
         at += timedelta(minutes=int(rng.integers(0, 200)))
         events.append((n, at, int(rng.integers(4)), ("view", "click", "purchase")[rng.integers(3)], float(rng.integers(30))))
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {tuple(r) for r in Q.closed_form_status_all(spark, str(tmp_path)).select("lineage", "n", "value", "status").collect()}
+    got = {tuple(r) for r in Q.closed_form_status(spark, str(tmp_path)).select("lineage", "n", "value", "status").collect()}
     assert got == walk(events) and {r[0].split("/")[1] for r in got} == {"view", "click", "purchase"}
     assert {r[3] for r in got} == {"CONFLICTED", "CURRENT", "HISTORICAL"}

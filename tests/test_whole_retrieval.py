@@ -24,16 +24,16 @@ def pairs(df):
 
 
 def test_each_source_sees_its_whole_table(spark, few):
-    assert pairs(Q.vector_topk_all(spark, few)) == {(q, d) for q in (50, 100) for d in (50, 100, 101)}
-    assert pairs(Q.lexical_topk_all(spark, few)) == {(50, 50), (50, 51), (150, 150), (150, 151)}
-    assert pairs(Q.structured_topk_all(spark, few)) == {(50, 50), (50, 51), (150, 150), (150, 151)}
-    assert pairs(Q.temporal_topk_all(spark, few)) == {(q, d) for q in (50, 150) for d in (50, 51, 150, 151)}
-    assert {q for q, _ in pairs(Q.rrf_fusion_all(spark, few))} == {50, 100, 150}
-    assert {q.query_id: set(q.chosen) for q in Q.context_budget_all(spark, few).collect()}[100] == {50, 100, 101}
-    assert Q.retrieval_metrics_all(spark, few).first().n_queries == 2
+    assert pairs(Q.vector_topk(spark, few)) == {(q, d) for q in (50, 100) for d in (50, 100, 101)}
+    assert pairs(Q.lexical_topk(spark, few)) == {(50, 50), (50, 51), (150, 150), (150, 151)}
+    assert pairs(Q.structured_topk(spark, few)) == {(50, 50), (50, 51), (150, 150), (150, 151)}
+    assert pairs(Q.temporal_topk(spark, few)) == {(q, d) for q in (50, 150) for d in (50, 51, 150, 151)}
+    assert {q for q, _ in pairs(Q.rrf_fusion(spark, few))} == {50, 100, 150}
+    assert {q.query_id: set(q.chosen) for q in Q.context_budget(spark, few).collect()}[100] == {50, 100, 101}
+    assert Q.retrieval_metrics(spark, few).first().n_queries == 2
 
 
 def test_words_of_all_scripts_and_the_whole_text_are_asked(spark, tmp_path):
     docs = [(50, "Straße nach Köln"), (51, "die Straße nach Köln"), (52, "Straße nach Bonn"), (100, "绿茶 green"), (101, "green 喝绿茶"), (102, "绿 green"), (150, "año nuevo feliz"), (151, "año nuevo"), (200, "!?"), (250, None)]
     spark.createDataFrame([(*r, "x", "s", None) for r in docs], "doc_id long, text string, lang string, source string, created_at timestamp_ntz").write.parquet(str(tmp_path / "documents.parquet"))
-    assert pairs(Q.lexical_topk_all(spark, str(tmp_path))) == {(50, 50), (50, 51), (100, 100), (100, 101), (150, 150)}
+    assert pairs(Q.lexical_topk(spark, str(tmp_path))) == {(50, 50), (50, 51), (100, 100), (100, 101), (150, 150)}
