@@ -177,9 +177,30 @@ def repeated_values(spark: SparkSession, folder: str) -> DataFrame:
     return L.duplicates(one_of_copies(table(spark, folder, "memory_version"), "version_id"))
 
 
-@family.query()
+_SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(8195)||chr(12288)"
+_REL = """CASE WHEN NOT (x.k AND y.k) OR (x.s IS NULL AND x.e IS NULL) OR (y.s IS NULL AND y.e IS NULL) THEN 'I' WHEN x.e <= y.s THEN 'B' WHEN x.s >= y.e THEN 'A' WHEN x.s IS NOT NULL AND x.e IS NOT NULL AND y.s IS NOT NULL AND y.e IS NOT NULL THEN 'O' ELSE 'I' END"""
+
+
+# a recursion over the place in the lineage: the retained versions before it, what happens, the retained versions after it
+@family.query(f"""WITH RECURSIVE l AS (SELECT memory_id, min(predicate_cardinality) = 'SINGLE' AS single FROM memory_lineage GROUP BY 1),
+v AS (SELECT memory_id, version_id, coalesce(single, false) AS single, value_json AS v, nullif(lower(trim(candidate_id, {_SPACE})), '') AS c, valid_time_start AS s, valid_time_end AS e, coalesce(valid_time_precision <> 'UNKNOWN' AND confidence >= 0.8, false) AS k,
+  row_number() OVER (PARTITION BY memory_id ORDER BY version_number, version_id) AS n FROM (SELECT DISTINCT ON (version_id) * FROM memory_version WHERE version_id IS NOT NULL) JOIN l USING (memory_id)),
+walk AS (
+  SELECT memory_id, 0::BIGINT AS n, NULL::VARCHAR AS version_id, NULL::VARCHAR AS operation, NULL::VARCHAR AS subject_version_id, NULL::VARCHAR AS new_status, []::STRUCT(version_id VARCHAR, from_status VARCHAR, to_status VARCHAR)[] AS changes,
+    []::STRUCT(id VARCHAR, v VARCHAR, s TIMESTAMP, e TIMESTAMP, k BOOLEAN, t VARCHAR)[] AS kept, []::VARCHAR[] AS seen FROM v WHERE n = 1
+  UNION ALL
+  SELECT memory_id, n, version_id, operation, CASE operation WHEN 'IGNORE' THEN NULL WHEN 'REINFORCE' THEN same ELSE version_id END, CASE WHEN operation NOT IN ('IGNORE', 'REINFORCE') THEN new_status END,
+    list_sort(list_transform(list_filter(moved, lambda m: m.t <> m.was), lambda m: {{'version_id': m.id, 'from_status': m.was, 'to_status': m.t}})),
+    CASE WHEN operation IN ('IGNORE', 'REINFORCE') THEN kept ELSE list_transform(moved, lambda m: {{'id': m.id, 'v': m.v, 's': m.s, 'e': m.e, 'k': m.k, 't': m.t}}) || [{{'id': version_id, 'v': v, 's': s, 'e': e, 'k': k, 't': new_status}}] END,
+    CASE WHEN c IS NULL OR operation = 'IGNORE' THEN seen ELSE seen || [c] END
+  FROM (SELECT *, CASE operation WHEN 'CONFLICT' THEN 'CONFLICTED' WHEN 'SUPERSEDE' THEN CASE WHEN list_contains(rel, 'B') THEN 'HISTORICAL' ELSE 'CURRENT' END ELSE 'CURRENT' END AS new_status,
+      list_transform(kept, lambda y, i: {{'id': y.id, 'v': y.v, 's': y.s, 'e': y.e, 'k': y.k, 'was': y.t,
+        't': CASE WHEN operation = 'CONFLICT' AND rel[i] IN ('O', 'I') THEN 'CONFLICTED' WHEN operation = 'SUPERSEDE' AND NOT list_contains(rel, 'B') THEN 'HISTORICAL' ELSE y.t END}}) AS moved
+    FROM (SELECT *, CASE WHEN list_contains(seen, c) THEN 'IGNORE' WHEN same IS NOT NULL THEN 'REINFORCE' WHEN len(kept) = 0 THEN 'CREATE' WHEN NOT single THEN 'COEXIST' WHEN list_contains(rel, 'O') OR list_contains(rel, 'I') THEN 'CONFLICT' ELSE 'SUPERSEDE' END AS operation
+      FROM (SELECT x.*, w.kept, w.seen, list_filter(w.kept, lambda y: y.v IS NOT DISTINCT FROM x.v)[1].id AS same, list_transform(w.kept, lambda y: {_REL}) AS rel FROM walk w JOIN v x ON w.memory_id = x.memory_id AND x.n = w.n + 1))))
+SELECT memory_id, version_id, operation, subject_version_id, new_status, changes FROM walk WHERE n > 0""")
 def lineage_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """The ordered fold of every lineage; checked against the closed form and by small cases."""
+    """The ordered fold of every lineage."""
     return L.fold(table(spark, folder, "memory_version"), table(spark, folder, "memory_lineage"))
 
 

@@ -93,7 +93,7 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         new = Kept(r.version_id, r.value_json, " ".join((r.content or "").lower().split()), number(r.s), number(r.e), bool(r.k), "")
         operation, _, _ = fold.plan(new)
         out.append((key[0], r.version_id, operation, new.status or None))
-    k = fold.kept
+    k = list(fold.kept.values())
     state.update(([x.version_id for x in k], [x.content for x in k], [x.value for x in k], [x.start for x in k], [x.end for x in k], [x.certain for x in k], [x.status for x in k]))
     yield pd.DataFrame(out, columns=["memory_id", "version_id", "operation", "new_status"])
 

@@ -15,7 +15,7 @@ def kept(i, value, s, e, certain=True):
 
 
 def statuses(f):
-    return {k.version_id: k.status for k in f.kept}
+    return {k.version_id: k.status for k in f.kept.values()}
 
 
 def test_create_supersede_backfill():
@@ -50,6 +50,61 @@ def test_repeat_set_and_invalidation():
         f.invalidate("1")
 
 
+def plainly(kept_, new, single):
+    """The rules without any index."""
+    for v in kept_:
+        if v.value == new.value:
+            return "REINFORCE", v.version_id, []
+    rel = [Fold.relation(new, v) for v in kept_]
+    clash = [v for v, r in zip(kept_, rel, strict=True) if r in ("OVERLAPS", "INDETERMINATE")]
+    to, status, operation = {}, "CURRENT", "SUPERSEDE"
+    if not kept_ or not single:
+        operation = "COEXIST" if kept_ else "CREATE"
+    elif clash:
+        operation, status, to = "CONFLICT", "CONFLICTED", {v.version_id: "CONFLICTED" for v in clash}
+    elif "BEFORE" in rel:
+        status = "HISTORICAL"
+    else:
+        to = {v.version_id: "HISTORICAL" for v in kept_}
+    changes = sorted((v.version_id, v.status, to[v.version_id]) for v in kept_ if to.get(v.version_id, v.status) != v.status)
+    for v in kept_:
+        v.status = to.get(v.version_id, v.status)
+    new.status = status
+    kept_.append(new)
+    return operation, new.version_id, changes
+
+
+bound = st.none() | st.integers(0, 30)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), bound, st.integers(1, 8), st.booleans(), st.booleans(), st.sampled_from([True, True, True, False])), max_size=25), st.booleans())
+def test_indexed_fold_equals_the_plain_rules(steps, single):
+    f, plain, gone = Fold(single), [], 0
+    for n, (value, start, length, open_end, drop, certain) in enumerate(steps):
+        end = None if open_end and n % 4 == 0 else (start if start is not None else 3) + length
+        one, two = (kept(n, str(value), start, end, certain) for _ in range(2))
+        assert f.plan(one) == plainly(plain, two, single)
+        if drop and n % 5 == 4:
+            gone = plain.pop(0)
+            assert f.invalidate(gone.version_id) == [(gone.version_id, gone.status, "INVALIDATED")]
+    assert statuses(f) == {v.version_id: v.status for v in plain}
+
+
+def test_a_hot_lineage_is_not_quadratic():
+    import time
+
+    f, began = Fold(True), time.perf_counter()
+    for n in range(20_000):
+        f.plan(kept(n, str(n), n * 10, n * 10 + 9))
+    assert time.perf_counter() - began < 5 and sum(v.status == "CURRENT" for v in f.kept.values()) == 1
+
+
+def test_a_candidate_seen_before_is_ignored():
+    f = Fold(True)
+    assert f.plan(kept(1, "a", 0, 10), "c1")[0] == "CREATE" and f.plan(kept(2, "b", 20, 30), "c1") == ("IGNORE", None, []) and list(f.kept) == ["1"]
+
+
 cases = st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 6), st.integers(1, 9)), min_size=1, max_size=8), min_size=1, max_size=12)
 
 
