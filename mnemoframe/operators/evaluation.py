@@ -55,3 +55,44 @@ def text_bytes(df: DataFrame, relation: str, columns: tuple[str, ...]) -> DataFr
     """Rows and bytes of the text columns of a relation."""
     size = reduce(Column.__add__, (F.coalesce(F.octet_length(c), F.lit(0)) for c in columns))
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes")).select(F.lit(relation).alias("relation"), "n_rows", "n_bytes")
+
+
+def evidence_scores(gold: Column, ranked: Column, selected: Column, forbidden: Column) -> list[Column]:
+    """Measures of one query from its id sets, ``ranked`` in order; a stage is the first at which a gold id is lost."""
+    found, chosen = F.size(F.array_intersect(gold, ranked)), F.size(F.array_intersect(gold, selected))
+    places = F.filter(F.transform(gold, lambda g: F.array_position(ranked, g)), lambda p: p > 0)
+    complete, kept = F.size(F.array_except(gold, ranked)) == 0, F.size(F.array_except(gold, selected)) == 0
+    return [
+        (found > 0).alias("hit"), complete.alias("complete"), F.coalesce(1 / F.array_min(places), F.lit(0.0)).alias("reciprocal_rank"), ratio(found, F.size(gold)).alias("recall"), F.coalesce(ratio(found, F.size(ranked)), F.lit(0.0)).alias("precision"),
+        kept.alias("selected_complete"), chosen.alias("selected_relevant"), F.size(selected).alias("selected_total"), (F.size(forbidden) > 0).alias("forbidden_labeled"), F.arrays_overlap(forbidden, selected).alias("forbidden_exposure"),
+        F.when(~complete, "retrieval").when(~kept, "context").otherwise("none").alias("failure_stage"),
+    ]
+
+
+def answer_fits(kind: Column, acceptable: Column, items: Column) -> Column:
+    """ABSTAIN wants no item, SET exactly the acceptable ones, TEXT a single one of them."""
+    among = F.size(F.array_except(items, acceptable)) == 0
+    return F.when(kind == "ABSTAIN", F.size(items) == 0).when(kind == "SET", among & (F.size(F.array_except(acceptable, items)) == 0)).otherwise((F.size(items) == 1) & among)
+
+
+def leaks(forbidden: Column, items: Column) -> Column:
+    """Whether a forbidden text stands within an item, whatever the case."""
+    return F.exists(forbidden, lambda b: F.exists(items, lambda i: F.contains(F.lower(i), F.lower(b))))
+
+
+def storage(observations: DataFrame, by: str, components: dict[str, str]) -> DataFrame:
+    """Totals, means and component sums of a group's observations, null unless all of them are complete."""
+    whole = F.bool_and("complete")
+    only = lambda c: F.when(whole, c)
+    total = reduce(Column.__add__, (F.sum(c) for c in components.values()))
+    return observations.groupBy(by).agg(
+        F.count("*").alias("observations"), whole.alias("complete"), only(total).alias("total_bytes"), only(F.bround(total / F.count("*"), 3)).alias("mean_bytes"), *(only(F.sum(c)).alias(name) for name, c in components.items())
+    )
+
+
+def usage(kinds: list[DataFrame], by: str) -> DataFrame:
+    """Sums of input (i), output (o) and embedding (e) tokens and of calls over several kinds of rows; each kind is summed first."""
+    parts = [df.groupBy(by).agg(*(F.sum(c).alias(c) for c in "ioe"), F.count("*").alias("calls"), F.bool_and("done").alias("done")) for df in kinds]
+    return reduce(DataFrame.unionByName, parts).groupBy(by).agg(
+        F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.sum("e").alias("embedding_tokens"), F.sum("calls").alias("model_calls"), F.bool_and("done").alias("complete")
+    )

@@ -2,7 +2,8 @@
 
 Events are reduced to their first arrival, spread over slabs of event time and salts of the id, and replayed in order of
 arrival into a finger B-tree whose key is the hour. The cut-off evicts whole subtrees; what arrives for an evicted hour is set
-apart as dropped. Hours of several salts are sums of partials, so a hot hour never sits in one task.
+apart as dropped. Totals of longer spans are read from the partials of ancestors before their hours are evicted. Hours of several salts
+are sums of partials, so a hot hour never sits in one task.
 """
 
 from __future__ import annotations
@@ -67,20 +68,65 @@ def _replay(grace: int, cutoff: int, per_event: bool) -> Callable[[pa.Table], pa
     return run
 
 
-def replay(events: DataFrame, grace_minutes: int = 15, cutoff_hours: int = 48, slab_hours: int = 24 * 7, rows_per_task: int = 250_000, per_event: bool = True) -> DataFrame:
-    """Rows (source_event_id, hour, outcome) of late events, or (hour, n_on_time, n_corrected, n_dropped) partials.
+def _spans(grace: int, cutoff: int, span: int) -> Callable[[pa.Table], pa.Table]:
+    """Totals of spans of hours, each read from the tree by its ancestors' partials when the cut-off of its last hour has passed."""
 
-    Exactly the grace is on time, exactly the cut-off is still corrected. The number of salts follows the table's row count, so
-    that no group exceeds ``rows_per_task`` by much even if one hour holds all rows. An empty table gives no rows.
+    def run(rows: pa.Table) -> pa.Table:
+        occurred, arrived = rows["occurred"].to_numpy(), rows["arrived"].to_numpy()
+        order = np.lexsort((occurred, arrived))
+        hour, came = np.floor_divide(occurred, HOUR)[order], arrived[order]
+        late = came > (hour + 1) * HOUR + grace
+        floor = (came - cutoff - 1) // HOUR - 1
+        tree, out, dropped, open_ = FingerTree(), [], {}, set()
+
+        def settle(upto: int | None) -> None:
+            for k in sorted(x for x in open_ if upto is None or (x + 1) * span - 1 <= upto):
+                out.append((k, *tree.range_sum(k * span, (k + 1) * span - 1)))
+                open_.discard(k)
+
+        seen = done = None
+        for h, is_late, gone in zip(hour.tolist(), late.tolist(), floor.tolist(), strict=True):
+            if gone != seen:
+                seen = gone
+                last = (gone + 1) // span * span - 1  # the last hour of the last whole span that has passed
+                if last != done:
+                    settle(last)
+                    tree.evict(last)
+                    done = last
+            if h <= gone:
+                dropped[h // span] = dropped.get(h // span, 0) + 1
+            elif tree.add(h, 0 if is_late else 1, 1 if is_late else 0):
+                open_.add(h // span)
+        settle(None)
+        sums = {k: [a, b, 0] for k, a, b in out}
+        for k, n in dropped.items():
+            sums.setdefault(k, [0, 0, 0])[2] += n
+        keys = sorted(sums)
+        return pa.table({"hour": pa.array([k * span for k in keys], pa.int64())} | {name: pa.array([sums[k][i] for k in keys], pa.int64()) for i, name in enumerate(("n_on_time", "n_corrected", "n_dropped"))})
+
+    return run
+
+
+def replay(events: DataFrame, grace_minutes: int = 15, cutoff_hours: int = 48, slab_hours: int = 24 * 7, rows_per_task: int = 250_000, per_event: bool = True, span: int = 1) -> DataFrame:
+    """Rows (source_event_id, hour, outcome) of late events, or partials (hour, n_on_time, n_corrected, n_dropped) per hour or span of hours.
+
+    Exactly the grace is on time, exactly the cut-off is still corrected. Each slab has as many salts as its rows need, so that no group
+    exceeds ``rows_per_task`` by much even if one hour holds all rows, and small slabs are not split. An empty table gives no rows.
     """
-    salts = max(1, -(-events.count() // rows_per_task))
+    if slab_hours % span:
+        raise ValueError("a slab must hold whole spans")
     schema = "source_event_id string, hour long, outcome string" if per_event else "hour long, n_on_time long, n_corrected long, n_dropped long"
+    slab = lambda micros_: F.floor(micros_ / F.lit(slab_hours * HOUR))
+    # copies count here too: at worst a slab is split more than it needs
+    sizes = events.where(F.col("occurred_at").isNotNull()).groupBy(slab(micros(F.col("occurred_at"))).alias("slab")).agg(F.ceil(F.count("*") / rows_per_task).alias("salts"))
+    run = _replay(grace_minutes * MINUTE, cutoff_hours * HOUR, per_event) if span == 1 else _spans(grace_minutes * MINUTE, cutoff_hours * HOUR, span)
     return (
         first_arrivals(events)
-        .withColumn("slab", F.floor(F.col("occurred") / F.lit(slab_hours * HOUR)))
-        .withColumn("salt", F.pmod(F.xxhash64("source_event_id"), F.lit(salts)))
+        .withColumn("slab", slab(F.col("occurred")))
+        .join(sizes, "slab")
+        .select("source_event_id", "occurred", "arrived", "slab", F.pmod(F.xxhash64("source_event_id"), F.col("salts")).alias("salt"))
         .groupBy("slab", "salt")
-        .applyInArrow(_replay(grace_minutes * MINUTE, cutoff_hours * HOUR, per_event), schema)
+        .applyInArrow(run, schema)
     )
 
 
@@ -100,3 +146,12 @@ def hourly_counts(events: DataFrame, **how: int) -> DataFrame:
         _hour_text(F.col("hour")).alias("event_hour"), F.col("n_on_time").alias("n_first"), "n_corrected",
         (F.col("n_on_time") + F.col("n_corrected")).alias("n_final"), "n_dropped",
     )
+
+
+def daily_counts(events: DataFrame, **how: int) -> DataFrame:
+    """The same per day, each day's total read from the tree's ancestors."""
+    sums = replay(events, per_event=False, span=24, **how).groupBy("hour").agg(*(F.sum(c).alias(c) for c in ("n_on_time", "n_corrected", "n_dropped")))
+    return sums.select(
+        F.date_format(F.timestamp_seconds(F.col("hour") * 3600), "yyyy-MM-dd").alias("event_day"), F.col("n_on_time").alias("n_first"), "n_corrected",
+        (F.col("n_on_time") + F.col("n_corrected")).alias("n_final"), "n_dropped",
+    )

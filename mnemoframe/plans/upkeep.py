@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mnemoframe.operators.late_events import hourly_counts, late_events
+from mnemoframe.operators.late_events import daily_counts, hourly_counts, late_events
 from mnemoframe.operators.orphan_references import memory_orphans
 from mnemoframe.sources.tables import table
 
@@ -28,7 +28,12 @@ def p3_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return hourly_counts(table(spark, folder, "source_event"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p3_hourly": p3_hourly}
+def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per day, from the partials of the tree's inner nodes."""
+    return daily_counts(table(spark, folder, "source_event"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p3_hourly": p3_hourly, "p3_daily": p3_daily}
 
 _SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(8195)||chr(12288)"
 _ORPHANS = f"""
@@ -63,6 +68,9 @@ SQL = {
     "p2_found": _ORPHANS + "SELECT * FROM found WHERE orphan_kind IS NOT NULL",
     "p2_monthly": _ORPHANS + "SELECT table_name, field_name, orphan_kind, ref_month, count(*)::BIGINT AS n_refs FROM found WHERE orphan_kind IS NOT NULL GROUP BY ALL",
     "p3_found": _LATE + "SELECT * FROM judged WHERE outcome IS NOT NULL",
+    "p3_daily": _LATE
+    + """SELECT event_hour[1:10] AS event_day, count(*) FILTER (outcome IS NULL)::BIGINT AS n_first, count(*) FILTER (outcome = 'corrected')::BIGINT AS n_corrected,
+         count(*) FILTER (outcome IS DISTINCT FROM 'dropped')::BIGINT AS n_final, count(*) FILTER (outcome = 'dropped')::BIGINT AS n_dropped FROM judged GROUP BY ALL""",
     "p3_hourly": _LATE
     + """SELECT event_hour, count(*) FILTER (outcome IS NULL)::BIGINT AS n_first, count(*) FILTER (outcome = 'corrected')::BIGINT AS n_corrected,
          count(*) FILTER (outcome IS DISTINCT FROM 'dropped')::BIGINT AS n_final, count(*) FILTER (outcome = 'dropped')::BIGINT AS n_dropped FROM judged GROUP BY ALL""",
