@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from hypothesis import given, settings, strategies as st
 
 from mnemoframe.operators.finger_tree import FingerTree
-from mnemoframe.operators.late_events import hourly_counts, late_events
+from mnemoframe.operators.late_events import daily_counts, hourly_counts, late_events
 
 SCHEMA = "source_event_id string, occurred_at timestamp_ntz, received_at timestamp_ntz, hour long, slab string"
 
@@ -52,6 +52,22 @@ def test_bounds_copies_and_nulls(spark):
     assert sorted(map(tuple, hourly_counts(df, rows_per_task=1).collect())) == sorted(map(tuple, hours.values()))
 
 
+def test_days_are_the_sums_of_their_hours(spark):
+    import random
+
+    rng = random.Random(3)
+    data = rows(*((f"e{k}", (at := rng.randint(0, 60 * 24 * 20)), at + rng.choice((5, 60, 600, 3000, 9000))) for k in range(1500)))
+    df = spark.createDataFrame(data, SCHEMA)
+    want = {}
+    for r in hourly_counts(df).collect():
+        day = want.setdefault(r.event_hour[:10], [0, 0, 0, 0])
+        for k, c in enumerate(("n_first", "n_corrected", "n_final", "n_dropped")):
+            day[k] += r[c]
+    for per_task in (250_000, 100):
+        assert {r.event_day: [r.n_first, r.n_corrected, r.n_final, r.n_dropped] for r in daily_counts(df, rows_per_task=per_task).collect()} == want
+    assert sum(d[3] for d in want.values()) > 50 and daily_counts(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert late_events(df).count() == 0 and hourly_counts(df).count() == 0
