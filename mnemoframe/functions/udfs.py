@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Row, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, FloatType, StringType, StructField, StructType
 
 WIDTH = 1024
@@ -68,17 +68,19 @@ def differences(a: Any, b: Any, path: str = "$") -> list[str]:
     return [] if type(a) is type(b) and a == b else [path]
 
 
-@F.udtf(returnType=StructType([StructField("path", StringType())]))
-class JsonDifferences:
-    """A row per path at which two JSON texts differ; ``$`` if either is not JSON."""
+@F.pandas_udf(ArrayType(StringType()))
+def json_differences(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The paths at which two JSON texts differ; ``$`` if either is not JSON and they are not equal."""
 
-    def eval(self, left: str, right: str) -> Iterator[Row]:
+    def one(a: str | None, b: str | None) -> list[str]:
+        if a == b:
+            return []
         try:
-            found = differences(json.loads(left), json.loads(right))
+            return differences(json.loads(a), json.loads(b))
         except (TypeError, ValueError):
-            found = ["$"] if left != right else []
-        for p in found:
-            yield (p,)
+            return ["$"]
+
+    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)])
 
 
 class StrictError(ValueError):
@@ -87,7 +89,11 @@ class StrictError(ValueError):
         self.code, self.path = code, path
 
 
-def strict_json(text: str, depth: int = 8, nodes: int = 1024, string: int = 16_384, size: int = 65_536) -> Any:
+# The decoder's bounds on depth, nodes, length of a string and bytes.
+DEPTH, NODES, STRING, SIZE = 8, 1024, 16_384, 65_536
+
+
+def strict_json(text: str, depth: int = DEPTH, nodes: int = NODES, string: int = STRING, size: int = SIZE) -> Any:
     """JSON within bounds; duplicate keys, deep nesting, long strings and numbers that are not finite are errors with their kind."""
     if len(text.encode()) > size:
         raise StrictError("TOO_LARGE", "$")

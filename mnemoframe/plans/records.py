@@ -292,8 +292,7 @@ def json_differences(spark: SparkSession, folder: str) -> DataFrame:
 
     w = Window.partitionBy("memory_id").orderBy("version_number", "version_id")
     v = one_of_copies(table(spark, folder, "memory_version", "memory_id", "version_id", "version_number", "value_json"), "version_id").withColumn("old", F.lag("value_json").over(w)).where("old IS NOT NULL AND value_json IS NOT NULL")
-    spark.udtf.register("json_differences", udfs.JsonDifferences)
-    return spark.sql("SELECT version_id, d.path FROM {v} AS v, LATERAL json_differences(v.old, v.value_json) AS d", v=v)
+    return v.where("old <> value_json").select("version_id", F.explode(udfs.json_differences("old", "value_json")).alias("path"))
 
 
 @family.query("""SELECT * FROM (
