@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mnemoframe.operators.late_events import daily_counts, hourly_counts, late_events
-from mnemoframe.operators.orphan_references import memory_orphans
+from mnemoframe.operators.orphan_references import memory_orphans, orphans
 from mnemoframe.sources.tables import table
 
 
@@ -19,6 +19,18 @@ def p2_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return p2_found(spark, folder).groupBy("table_name", "field_name", "orphan_kind", "ref_month").agg(F.count("*").alias("n_refs"))
 
 
+def p2_number_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans among sequential keys, whose parents make few runs: embeddings without their document, and lines without their order."""
+    parts = (("embeddings", "vec_id", "documents", "doc_id"), ("lineitem", "l_orderkey", "orders", "o_orderkey"))
+    none = F.lit(None)
+    refs = [
+        table(spark, folder, t, c).select(F.lit(t).alias("table_name"), F.lit(c).alias("field_name"), F.col(c).cast("string").alias("record_id"), none.cast("string").alias("tenant_id"), F.lit(target).alias("target"), F.col(c).cast("string").alias("ref_key"), none.cast("bigint").alias("referred"))
+        for t, c, target, _ in parts
+    ]
+    known = [table(spark, folder, target, key).select(none.cast("string").alias("tenant_id"), F.col(key).cast("string").alias("ref_key"), none.cast("bigint").alias("arrived"), F.lit(False).alias("erased"), F.lit(target).alias("target")) for _, _, target, key in parts]
+    return orphans([r.where("ref_key IS NOT NULL") for r in refs], [k.where("ref_key IS NOT NULL") for k in known]).select("table_name", "field_name", "ref_key", "orphan_kind")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return late_events(table(spark, folder, "source_event"))
 
@@ -33,7 +45,7 @@ def p3_daily(spark: SparkSession, folder: str) -> DataFrame:
     return daily_counts(table(spark, folder, "source_event"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p3_hourly": p3_hourly, "p3_daily": p3_daily}
+QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p2_number_keys": p2_number_keys, "p3_found": p3_found, "p3_hourly": p3_hourly, "p3_daily": p3_daily}
 
 _SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(8195)||chr(12288)"
 _ORPHANS = f"""
@@ -67,6 +79,8 @@ judged AS (SELECT source_event_id, event_hour, CASE WHEN arrived > closed + INTE
 SQL = {
     "p2_found": _ORPHANS + "SELECT * FROM found WHERE orphan_kind IS NOT NULL",
     "p2_monthly": _ORPHANS + "SELECT table_name, field_name, orphan_kind, ref_month, count(*)::BIGINT AS n_refs FROM found WHERE orphan_kind IS NOT NULL GROUP BY ALL",
+    "p2_number_keys": """SELECT DISTINCT 'embeddings' AS table_name, 'vec_id' AS field_name, vec_id::VARCHAR AS ref_key, 'missing' AS orphan_kind FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)
+UNION ALL SELECT DISTINCT 'lineitem', 'l_orderkey', l_orderkey::VARCHAR, 'missing' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL)""",
     "p3_found": _LATE + "SELECT * FROM judged WHERE outcome IS NOT NULL",
     "p3_daily": _LATE
     + """SELECT event_hour[1:10] AS event_day, count(*) FILTER (outcome IS NULL)::BIGINT AS n_first, count(*) FILTER (outcome = 'corrected')::BIGINT AS n_corrected,
