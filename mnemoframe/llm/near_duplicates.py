@@ -26,16 +26,21 @@ def normalised(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct trigrams of all texts as integers (21 bits a code point), one text after the other, and where each begins."""
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All trigrams of the texts as integers (21 bits a code point), as often as they stand, and the text of each."""
     lengths = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     if len(points) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
     inside = doc[:-2] == doc[2:]
-    codes, doc = codes[inside], doc[:-2][inside]
+    return codes[inside], doc[:-2][inside]
+
+
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of each text in order, one text after the other, and where each text begins."""
+    codes, doc = windows(texts)
     order = np.lexsort((codes, doc))
     codes, doc = codes[order], doc[order]
     new = np.ones(len(codes), bool)
@@ -51,7 +56,7 @@ def bucket(codes: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        codes, _ = trigrams([t for t in batch.column(0).to_pylist() if t])
+        codes, _ = windows([t for t in batch.column(0).to_pylist() if t])
         total += np.bincount(bucket(codes), minlength=BUCKETS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
@@ -72,23 +77,22 @@ def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
 def join(texts: list[str], seen: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs of the texts with their similarity of at least ``threshold``; with ``side`` (0 or 1 per text), those of different sides."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    chunks = []
-    for at in range(0, len(texts), 4096):  # sorting takes several times the room of its result
-        codes, edges = trigrams(texts[at : at + 4096])
-        chunks.append((codes, np.diff(edges)))
-    if not any(len(codes) for codes, _ in chunks):
+    known = np.unique(np.concatenate([np.unique(windows(texts[at : at + 4096])[0]) for at in range(0, max(1, len(texts)), 4096)]))
+    if not len(known):
         return none
-    size = np.concatenate([n for _, n in chunks])
+    rank_of = np.empty(len(known), np.int64)
+    rank_of[np.lexsort((known, seen[bucket(known)]))] = np.arange(len(known))
+    parts, sizes = [], []
+    for at in range(0, len(texts), 4096):  # sorting takes several times the room of its result
+        codes, doc = windows(texts[at : at + 4096])
+        key = np.sort(doc * len(known) + rank_of[np.searchsorted(known, codes)])
+        key = key[np.diff(key, prepend=-1) > 0]
+        doc, rank = np.divmod(key, len(known))
+        parts.append(rank.astype(np.int32))
+        sizes.append(np.bincount(doc, minlength=min(4096, len(texts) - at)))
+    ranks, size = np.concatenate(parts), np.concatenate(sizes)
     begin = np.concatenate([[0], np.cumsum(size)])
-    known = np.unique(np.concatenate([np.unique(codes) for codes, _ in chunks]))
-    rank_of = np.empty(len(known), np.int32)
-    rank_of[np.lexsort((known, seen[bucket(known)]))] = np.arange(len(known), dtype=np.int32)
-    sorted_chunks = []
-    for codes, n in chunks:
-        r = rank_of[np.searchsorted(known, codes)]
-        sorted_chunks.append(r[np.lexsort((r, np.repeat(np.arange(len(n)), n)))])
-    ranks = np.concatenate(sorted_chunks)
-    del chunks, sorted_chunks
+    del parts
     side = np.zeros(len(texts), np.int8) if (whole := side is None) else side
 
     # groups: classes of one prefix and one size, in order of size
@@ -125,35 +129,47 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, side: np.ndarray
     starts = np.concatenate([[0], np.cumsum(g_len)])
     lowest = np.searchsorted(g_size, np.ceil(threshold * g_size - 1e-9))
 
-    mark = np.zeros(len(known), bool)
     one, two, sims = [], [], []
 
-    def verify(d: int, others: np.ndarray) -> None:
-        own = ranks[begin[d] : begin[d + 1]]
-        mark[own] = True
-        sizes = size[others]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(begin[others] - (ends - sizes), sizes)
-        token = ranks[at]
-        shared = np.add.reduceat(mark[token], ends - sizes, dtype=np.int64)
-        sim = shared / (sizes + len(own) - shared)
-        good = sim >= threshold
-        mark[own] = False
-        if good.any():
-            two.append(others[good])
-            one.append(np.full(int(good.sum()), d))
-            sims.append(sim[good])
+    def verify(d: np.ndarray, other: np.ndarray) -> None:
+        """Keeps the pairs that are similar enough; some of the texts ``d`` at a time are marked."""
+        by = np.argsort(d, kind="stable")
+        other = other[by]
+        texts_, which = np.unique(d[by], return_inverse=True)
+        most = max(1, (1 << 25) // len(known))
+        for low in range(0, len(texts_), most):
+            at, end = np.searchsorted(which, [low, low + most])
+            mine = texts_[low : low + most]
+            mark = np.zeros((len(mine), len(known)), bool)
+            n = size[mine]
+            mark[np.repeat(np.arange(len(mine)), n), ranks[np.arange(n.sum()) + np.repeat(begin[mine] - (np.cumsum(n) - n), n)]] = True
+            for k in range(at, end, 50_000):
+                row, o = which[k : min(end, k + 50_000)] - low, other[k : min(end, k + 50_000)]
+                n = size[o]
+                ends = np.cumsum(n)
+                token = ranks[np.arange(ends[-1]) + np.repeat(begin[o] - (ends - n), n)]
+                shared = np.add.reduceat(mark[np.repeat(row, n), token], ends - n, dtype=np.int64)
+                sim = shared / (n + size[mine[row]] - shared)
+                good = sim >= threshold
+                one.append(mine[row[good]])
+                two.append(o[good])
+                sims.append(sim[good])
+
+    rest, rest_indexed = g_size - g_len, g_size - i_len
+    share = threshold / (1 + threshold)
 
     def _possible(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
         # what can still be shared lies behind the prefix that ends first
-        rest = np.where(last[a] < last_indexed[b], g_size[a] - g_len[a], g_size[b] - i_len[b])
-        return common + rest >= np.ceil(threshold / (1 + threshold) * (g_size[a] + g_size[b]) - 1e-9)
+        behind = np.where(last[a] < last_indexed[b], rest[a], rest_indexed[b])
+        return common + behind >= np.ceil(share * (g_size[a] + g_size[b]) - 1e-9)
 
+    several = [np.array(m) for m in members]
+    wide, f_size, f_rest, f_indexed = len(head) < len(docs), *(x.astype(np.float32) for x in (g_size * share, rest, rest_indexed))
     block = max(1, (1 << 21) // count)
     for low in range(0, count, block):
         high = min(count, low + block)
         tokens, probe = flat[starts[low] : starts[high]], group[starts[low] : starts[high]] - low
-        met = np.zeros((high - low) * count, np.int32)
+        met = np.zeros((high - low) * high, np.int32)  # a group meets those before it
         for k in range(len(keys)):
             mine = slice(None) if whole else g_side[probe + low] != k
             own, by = tokens[mine], probe[mine]
@@ -164,20 +180,27 @@ def join(texts: list[str], seen: np.ndarray, threshold: float, side: np.ndarray
             n = np.searchsorted(keys[k], base + by + low) - first  # earlier groups that are large enough
             ends = np.cumsum(n)
             at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first - (ends - n)).astype(np.int32), n)
-            met += np.bincount(posts[k][at] + np.repeat((by * count).astype(np.int32), n), minlength=len(met)).astype(np.int32)
-        pair = np.flatnonzero(met)
-        a, b, common = pair // count + low, pair % count, met[pair]
+            met += np.bincount(posts[k][at] + np.repeat((by * high).astype(np.int32), n), minlength=len(met)).astype(np.int32)
+        # a bound by rows and columns first, then the exact one
+        met = met.reshape(high - low, high)
+        need = f_size[low:high, None] + f_size[None, :high] - np.maximum(f_rest[low:high, None], f_indexed[None, :high])
+        a, b = np.nonzero(met >= np.maximum(need - 0.01, 1))
+        a, common = a + low, met[a, b]
         ok = _possible(a, b, common)
         a, b = a[ok], b[ok]
+        if not wide:
+            verify(head[a], head[b])
+            continue
+        left, right = [], []
         edges = np.searchsorted(a, np.arange(low, high + 1))
         for g in range(low, high):
-            mine = members[g]
-            near = b[edges[g - low] : edges[g - low + 1]]
-            some = [m for h in near.tolist() for m in members[h]]
-            for k, d in enumerate(mine):
-                others = some + mine[:k] if whole else some
-                if others:
-                    verify(d, np.array(others))
+            mine = several[g]
+            some = [several[h] for h in b[edges[g - low] : edges[g - low + 1]].tolist()]
+            for k, d in enumerate(mine.tolist()):
+                others = np.concatenate([*some, mine[:k] if whole else mine[:0]])
+                left.append(np.full(len(others), d))
+                right.append(others)
+        verify(np.concatenate(left), np.concatenate(right).astype(np.int64))
     return (np.concatenate(one), np.concatenate(two), np.concatenate(sims)) if one else none
 
 
