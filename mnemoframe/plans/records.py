@@ -285,7 +285,12 @@ def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return labels.select("label", udfs.hash_embedding("label").alias("embedding"))
 
 
-@family.query()
+# the values here are scalars or objects of one level, so keys need no recursion
+@family.query("""WITH w AS (SELECT version_id, value_json AS b, lag(value_json) OVER (PARTITION BY memory_id ORDER BY version_number, version_id) AS a FROM (SELECT DISTINCT ON (version_id) * FROM memory_version WHERE version_id IS NOT NULL)),
+p AS (SELECT *, json_valid(a) AND json_valid(b) AS sound FROM w WHERE a <> b), t AS (SELECT *, sound AND json_type(CASE WHEN sound THEN a ELSE 'null' END) = 'OBJECT' AND json_type(CASE WHEN sound THEN b ELSE 'null' END) = 'OBJECT' AS nested FROM p),
+k AS (SELECT version_id, a, b, unnest(list_distinct(json_keys(a) || json_keys(b))) AS k FROM t WHERE nested)
+SELECT version_id, '$.' || k AS path FROM k WHERE json_extract(a, k) IS DISTINCT FROM json_extract(b, k)
+UNION ALL SELECT version_id, '$' FROM t WHERE NOT nested AND NOT coalesce(sound AND json(CASE WHEN sound THEN a END) = json(CASE WHEN sound THEN b END), false)""")
 def json_differences(spark: SparkSession, folder: str) -> DataFrame:
     """Paths at which the values of consecutive versions differ."""
     from pyspark.sql import Window
