@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import assessment, history, memories, records, retrieval, upkeep
+from mnemoframe.plans import assessment, chains, history, memories, records, retrieval, upkeep
 
-_PARTS = (history, retrieval, memories, assessment, records, upkeep)
+_PARTS = (history, retrieval, memories, assessment, chains, records, upkeep)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
