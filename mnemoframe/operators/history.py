@@ -41,10 +41,15 @@ def as_of(log: DataFrame, at: Column) -> DataFrame:
 
 
 def as_of_many(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """As-of join: for each probe (probe_id, memory_id, probe_time), each version's status at that time."""
-    j = log.join(probes, "memory_id").where(F.col("occurred_at") <= F.col("probe_time"))
-    last = F.max_by("to_status", F.struct("sequence", "ordinal"))
-    return j.groupBy("probe_id", "memory_id", "version_id").agg(last.alias("status"))
+    """As-of join: for each probe (probe_id, memory_id, probe_time), each version's status at that time.
+
+    Every change holds from its time until the earliest one after it in the version's order, so a probe meets one change of a version and
+    what the join gives is the answer: nothing is aggregated after it.
+    """
+    later = Window.partitionBy("tenant_id", "memory_id", "version_id").orderBy("sequence", "ordinal").rowsBetween(1, Window.unboundedFollowing)
+    held = log.withColumn("until", F.min("occurred_at").over(later)).where(F.col("until").isNull() | (F.col("until") > F.col("occurred_at")))
+    now = (F.col("occurred_at") <= F.col("probe_time")) & (F.col("until").isNull() | (F.col("until") > F.col("probe_time")))
+    return held.join(probes, "memory_id").where(now).select("probe_id", "memory_id", "version_id", F.col("to_status").alias("status"))
 
 
 def diff(log: DataFrame, after: Column, upto: Column) -> DataFrame:
