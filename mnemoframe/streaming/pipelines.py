@@ -77,6 +77,28 @@ def ingest_batch(path: str, known_columns: tuple[str, ...] = ("tenant_id", "idem
     return put
 
 
+def chained(path: str, candidates: DataFrame, versions: DataFrame) -> object:
+    """A foreachBatch function of three stages: what is new of the events, the candidates drawn from it, and the search rows of their versions.
+
+    Each stage writes its own folder by batch and the next reads what the one before wrote for this batch, so a batch that fails
+    anywhere is run again as a whole and replaces its own files. ``candidates``: candidate_id, source_event_id and more; ``versions``:
+    version_id, candidate_id and more.
+    """
+    ingest = ingest_batch(f"{path}/events")
+
+    def put(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        ingest(batch, k)
+        events = spark.read.schema(batch.schema).parquet(f"{path}/events/batch={k}")
+        drawn = candidates.join(events.select("source_event_id").distinct(), "source_event_id", "left_semi")
+        drawn.write.mode("overwrite").parquet(f"{path}/candidates/batch={k}")
+        kept = spark.read.schema(candidates.schema).parquet(f"{path}/candidates/batch={k}")
+        sources = kept.where(F.col("candidate_id").isNotNull()).groupBy("candidate_id").agg(F.array_sort(F.collect_set("source_event_id")).alias("source_event_ids"))
+        versions.join(sources, "candidate_id").write.mode("overwrite").parquet(f"{path}/projection/batch={k}")
+
+    return put
+
+
 _FOLD_OUT = "memory_id string, version_id string, operation string, new_status string"
 _FOLD_STATE = "ids array<string>, contents array<string>, vals array<string>, starts array<bigint>, ends array<bigint>, certain array<boolean>, statuses array<string>"
 

@@ -159,3 +159,17 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     put(two, 1)
     put(two, 1)  # a repeated batch
     assert {(r.tenant_id, r.idempotency_key, r.trace_id) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("t", "a", "1"), ("t", "b", "3"), ("t", "c", "5"), ("u", "c", "6")}
+
+
+def test_chain_of_stages_survives_a_repeated_batch(spark, tmp_path):
+    t = datetime(2025, 1, 1)
+    schema = "source_event_id string, tenant_id string, idempotency_key string, received_at timestamp, trace_id string"
+    candidates = spark.createDataFrame([("c1", "e1"), ("c2", "e2"), ("c3", "e9"), (None, "e1")], "candidate_id string, source_event_id string")
+    versions = spark.createDataFrame([("v1", "c1"), ("v2", "c2"), ("v3", "c3"), ("v4", None)], "version_id string, candidate_id string")
+    put = P.chained(str(tmp_path), candidates, versions)
+    one = spark.createDataFrame([("e1", "t", "a", t, "1")], schema)
+    two = spark.createDataFrame([("e1", "t", "a", t, "2"), ("e2", "t", "b", t, "3")], schema)
+    for batch, k in ((one, 0), (two, 1), (two, 1), (two.limit(0), 2)):
+        put(batch, k)
+    rows = spark.read.parquet(str(tmp_path / "projection")).collect()
+    assert sorted((r.batch, r.version_id, r.source_event_ids) for r in rows) == [(0, "v1", ["e1"]), (1, "v2", ["e2"])]
