@@ -52,7 +52,7 @@ def test_equals_brute_force(spark):
     rows = sample()
     want = brute(rows)
     assert len(want) > 30
-    for per_task in (20_000, 40, 7):
+    for per_task in (20_000, 40, 12):
         got = [tuple(r) for r in nd.similar_pairs(frame(spark, rows), rows_per_task=per_task).collect()]
         assert set(got) == want and len(got) == len(want)
 

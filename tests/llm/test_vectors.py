@@ -22,7 +22,7 @@ def brute(rows, k=5):
         x = np.array([usable[m, d, i] for i in ids])
         s = np.round(x @ x.T, 12)
         for a in range(len(ids)):
-            for b in sorted((j for j in range(len(ids)) if j != a), key=lambda j: (-s[a, j], ids[j]))[:k]:
+            for b in [j for j in np.argsort(-s[a], kind="stable")[: k + 1].tolist() if j != a][:k]:  # ids ascend
                 out.add((min(ids[a], ids[b]), max(ids[a], ids[b])))
     return out
 
